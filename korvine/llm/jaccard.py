@@ -39,7 +39,7 @@ PERCENT = 75
 FREQUENT = 1 << 18
 #: Bits of the map of sets whose shingles are fetched: what is broadcast has this size always.
 MAP_BITS = 1 << 26
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -166,7 +166,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
                 sid2.append(b)
                 sk.append(sketch(s) if new else None)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(sid2, pa.int64()), pa.array(sk, pa.binary())], ["kind", "doc_id", "n", "sid", "sid2", "sketch"])
-            if size > 1 << 23:  # what occurs once in so much goes, which keeps the table small
+            if size > 1 << 21:  # what occurs once in so much goes, which keeps the table small
                 counted = merged()
                 counted = counted[0][counted[1] > 1], counted[1][counted[1] > 1]
                 tokens, size = [], 0
@@ -279,7 +279,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, set (hashes) of the wanted sids; a map of fixed size keeps most others from being shuffled."""
-    bit = F.pmod(F.xxhash64("sid"), F.lit(MAP_BITS))
+    bit = F.pmod("sid", F.lit(MAP_BITS))  # ids are hashes
     rows = wanted.select((bit / 32768).cast("int").alias("row"), (bit % 32768).cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator()
     bitmap = np.zeros(MAP_BITS // 8, np.uint8)
     for r in rows:
@@ -287,25 +287,19 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        bits, seen = held.value, set()
         for batch in batches:
             sids, sets = [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 a, _ = set_id(s)
-                if a not in seen and len(s):
+                at = a % MAP_BITS
+                if (bits[at >> 3] >> (at & 7)) & 1 and a not in seen and len(s):
                     seen.add(a)
                     sids.append(a)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "set"])
 
-    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for batch in batches:
-            b = batch.column("bit").to_numpy()
-            yield batch.select(["sid", "set"]).filter(pa.array((bits[b >> 3] >> (b & 7)) & 1 == 1))
-
-    every = docs.select("text").mapInArrow(run, "sid long, set binary").withColumn("bit", bit)
-    return every.mapInArrow(few, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    return docs.select("text").mapInArrow(run, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def _measured(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -373,9 +367,8 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> t
     rows = narrow.where("kind = 0").select("doc_id", "n", "sid")
     nodes = materialize(narrow.where("kind = 0 AND sketch IS NOT NULL").select("sid", "n", "sketch").dropDuplicates(["sid"]))
     buckets = materialize(_buckets(_index(docs, _frequent(narrow, frequent))))
-    near = buckets.where("sid <> pivot").groupBy("sid", "pivot").agg(F.count("*").alias("together"))
-    near = near.select(F.col("pivot").alias("a"), F.col("sid").alias("b"), "together")
-    bounds = materialize(_bounded(near.select("a", "b"), nodes, percent))
+    near = buckets.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    bounds = materialize(_bounded(near, nodes, percent))
     measured = materialize(_measured(bounds.where("maybe"), docs, percent))
     links = measured.where("linked").select("a", "b")
     labels = materialize(components(links))
