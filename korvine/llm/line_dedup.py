@@ -32,19 +32,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return d.where((F.length("line") >= LEAST_CHARS) & F.col("line").rlike(NOT_SPACE))
 
 
-#: Letters whose counts go into a line's signature, modulo 4 and in Gray code: two bits each, lowest bits of h.
-LETTERS = "entaiorsldhu"
-SIGNATURE = (1 << 2 * len(LETTERS)) - 1
+#: Letters whose counts go into a line's signature, modulo 4 and in Gray code: two bits each.
+LETTERS = "abcdefghijklmnopqrstuvwxyz é"
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """Adds h and h2, which together tell lines apart.
+    """Adds h and h2: 128 bits that tell lines apart."""
+    return lines.withColumn("h", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
-    The lowest bits of h are the signature. An edit changes the counts of two letters by one at most, and in Gray code a
-    count's step modulo 4 changes one bit, so signatures of lines within tau edits differ in 2 * tau bits at most.
-    """
-    counts = "|".join(f"shiftleft(((length(line) - length(replace(line, '{c}', ''))) & 3) ^ (((length(line) - length(replace(line, '{c}', ''))) & 3) >> 1), {2 * i})" for i, c in enumerate(LETTERS))
-    return lines.withColumn("h", F.expr(f"(xxhash64(line) & {~SIGNATURE}L) | cast(({counts}) AS bigint)")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
+
+def signature(line: str) -> Column:
+    """An edit changes the counts of two letters by one at most, and in Gray code a count's step modulo 4 changes one bit:
+    the signatures of lines within tau edits differ in 2 * tau bits at most."""
+    n = lambda c: f"((length({line}) - length(replace({line}, '{c}', ''))) & 3)"
+    return F.expr("|".join(f"shiftleft(cast({n(c)} ^ ({n(c)} >> 1) AS bigint), {2 * i})" for i, c in enumerate(LETTERS)))
 
 
 def classes(lines: DataFrame) -> DataFrame:
@@ -61,34 +62,31 @@ def _segment(length: str, i: int, tau: int) -> tuple[str, str]:
     return f"(1 + {i} * {short} + greatest(0, {i} - {n_short}))", f"({short} + IF({i} >= {n_short}, 1, 0))"
 
 
-def entries(lines: DataFrame, tau: int) -> DataFrame:
-    """k, h: the index entries."""
-    made = []
-    for i in range(tau + 1):
-        at, n = _segment("l", i, tau)
-        made.append(F.expr(f"xxhash64(l, {i}, substring(line, {at}, {n}))"))
-    return lines.withColumn("l", F.length("line")).select(F.explode(F.array(*made)).alias("k"), "h")
-
-
-def probes(lines: DataFrame, tau: int) -> DataFrame:
-    """k, h: what a line looks for, apart from its own entries."""
-    made = []
+def _rows(lines: DataFrame, tau: int, own: bool, others: bool) -> DataFrame:
+    """k, h, own: the index entries of lines (own), and what they look for besides (others)."""
+    wanted = []
     for delta in range(tau + 1):
         for i in range(tau + 1):
-            at, n = _segment(f"(l - {delta})", i, tau)
-            for shift in range(-tau, 2 * tau + 1):
-                if max(-i, delta - (tau - i)) <= shift <= min(i, delta + (tau - i)) and (delta, shift) != (0, 0):
-                    place = f"({at} + {shift})"
-                    made.append(F.expr(f"IF({place} >= 1 AND {place} + {n} - 1 <= l, xxhash64(l - {delta}, {i}, substring(line, {place}, {n})), NULL)"))
-    return lines.withColumn("l", F.length("line")).select(F.explode(F.array(*made)).alias("k"), "h").where("k IS NOT NULL")
+            for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
+                if (own and (delta, shift) == (0, 0)) or (others and (delta, shift) != (0, 0)):
+                    wanted.append(f"named_struct('d', {delta}, 'i', {i}, 's', {shift})")
+    d = lines.select("line", "h", F.length("line").alias("l"), F.explode(F.expr(f"array({', '.join(wanted)})")).alias("x")).select("line", "h", "l", F.expr("l - x.d").alias("m"), "x.i", "x.s")
+    at, n = _segment("m", "i", tau)
+    d = d.select("line", "h", "l", "m", "i", "s", F.expr(f"{at} + s").alias("at"), F.expr(n).alias("n")).where("at >= 1 AND at + n - 1 <= l")
+    return d.select(F.expr("xxhash64(m, i, substring(line, at, n))").alias("k"), "h", F.expr("m = l AND s = 0").alias("own"))
 
 
-def meetings(lines: DataFrame, tau: int) -> DataFrame:
-    """a < b: hashes of distinct lines that have a segment in common where it counts."""
-    index = entries(lines, tau)
-    seek = index.unionAll(probes(lines, tau))
-    met = seek.join(index.withColumnRenamed("h", "g").hint("shuffle_hash"), "k").where(f"h <> g AND bit_count((h ^ g) & {SIGNATURE}L) <= {2 * tau}")
-    return met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+def meetings(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
+    """(k, h of what finds another line in the index; k, h of the entries found): as many rows as there are entries at most.
+
+    Of each bucket the join needs the least and the greatest hash only: who differs from one of them has found another
+    line. All entries of a bucket with several lines are found so, and a bucket's only line is its least one.
+    """
+    index = _rows(lines, tau, True, False).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    seek = _rows(lines, tau, True, True)
+    found = materialize(seek.join(index.hint("shuffle_hash"), "k").where("h <> low OR h <> high").distinct())
+    hit = found.where("own").select("k", "h").union(found.select("k", "low")).union(found.select("k", "high")).distinct()
+    return found.select("k", "h").distinct(), materialize(hit)
 
 
 def _bit(c: str) -> tuple[Column, Column]:
@@ -103,43 +101,54 @@ def line_map(hashes: DataFrame) -> DataFrame:
     return hashes.select(row.alias("row"), bit.cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def mapped(lines: DataFrame, bits: DataFrame) -> DataFrame:
-    """The lines whose bit is set: those of the map and a few others."""
+def marked(lines: DataFrame, bits: DataFrame) -> DataFrame:
+    """Adds `in_map`: whether a line's bit is set, as it is for those of the map and a few others."""
     row, bit = _bit("h")
     byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
-    named = lines.withColumn("row", row).withColumn("bit", bit)
-    return named.join(F.broadcast(bits), "row").where(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0).drop("row", "bit", "bits")
+    named = lines.withColumn("row", row).withColumn("bit", bit).join(F.broadcast(bits), "row", "left")  # MAP_ROWS rows at most
+    return named.withColumn("in_map", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0, F.lit(False))).drop("row", "bit", "bits")
+
+
+def _once(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """The distinct lines: those that the map of repeated lines leaves out, and of the others one each."""
+    m = marked(lines, line_map(found.where(F.col("n") > 1)))
+    often = materialize(m.where("in_map").drop("in_map").dropDuplicates(["h", "h2"]))
+    return m.where("NOT in_map").drop("in_map").unionByName(often)
 
 
 def near(lines: DataFrame, found: DataFrame, tau: int = TAU) -> DataFrame:
-    """h, h2, g, g2: links between distinct lines within `tau` edits. `found`: classes of the lines."""
-    long = lines.where(F.length("line") >= LEAST_FUZZY).select("h", "h2", "line")
-    met = materialize(meetings(long, tau))
-    some = met.select(F.col("a").alias("h")).union(met.select("b"))
-    texts = materialize(mapped(long, line_map(some)).dropDuplicates(["h", "h2"]))
-    left = met.join(texts.select(F.col("h").alias("a"), "h2", F.col("line").alias("s")), "a")
-    both = left.join(texts.select(F.col("h").alias("b"), F.col("h2").alias("g2"), F.col("line").alias("t")), "b")
+    """h, h2, g, g2: links between distinct lines (line, h, h2) within `tau` edits. `found`: their classes."""
+    long = _once(lines.where(F.length("line") >= LEAST_FUZZY).select("h", "h2", "line"), found)
+    found, hit = meetings(long, tau)
+    some = found.select("h").union(hit.select("h")).distinct()
+    texts = materialize(marked(long, line_map(some)).where("in_map").drop("in_map").join(some, "h", "left_semi").dropDuplicates(["h", "h2"]).withColumn("sig", signature("line")))
+    sigs = texts.select("h", "sig")
+    left, right = found.join(sigs, "h"), hit.join(sigs, "h").select("k", F.col("h").alias("g"), F.col("sig").alias("sig2"))
+    # a bucket's lines meet within the join, which passes on only those that the signatures let be near
+    met = left.join(right, (left.k == right.k) & (left.h != right.g) & (F.bit_count(left.sig.bitwiseXOR(right.sig2)) <= 2 * tau))
+    met = materialize(met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct())
+    both = met.join(texts.select(F.col("h").alias("a"), "h2", F.col("line").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("h2").alias("g2"), F.col("line").alias("t")), "b")
     both = both.where(F.abs(F.length("s") - F.length("t")) <= tau).where(F.levenshtein("s", "t", tau) >= 0)
     return both.select(F.col("a").alias("h"), "h2", F.col("b").alias("g"), "g2")
 
 
-def decisions(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines without text: doc_id, key, line_no, h, h2; classes with `earlier`; links)."""
+def decisions(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
+    """(places of lines: doc_id, key, line_no, h, h2; classes that lose an occurrence, with n_earlier near lines)."""
     lines = _hashed(lines_of(docs))
-    found = materialize(classes(lines))
+    places = materialize(lines.drop("line"))
+    found = materialize(classes(places))
     links = materialize(near(lines, found, tau))
     place = found.select("h", "h2", "first")
     l = links.join(place, ["h", "h2"]).join(place.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("first").alias("other")), ["g", "g2"])
     after = F.col("first") > F.col("other")
     later = l.select(F.when(after, F.col("h")).otherwise(F.col("g")).alias("h"), F.when(after, F.col("h2")).otherwise(F.col("g2")).alias("h2")).groupBy("h", "h2").agg(F.count("*").alias("n_earlier"))
     judged = found.join(later, ["h", "h2"], "left").withColumn("n_earlier", F.coalesce("n_earlier", F.lit(0)))
-    # only lines that lose an occurrence matter from here on
-    return lines.drop("line"), judged.where("n > 1 OR n_earlier > 0"), links
+    return places, judged.where("n > 1 OR n_earlier > 0")
 
 
 def drops(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """doc_id, key, exact and near: the numbers of the lines that a document loses, and which of them are near ones."""
-    lines, judged, _ = decisions(docs, tau)
+    lines, judged = decisions(docs, tau)
     first = (F.coalesce("doc_id", F.lit(0)) == F.coalesce("first.doc_id", F.lit(0))) & (F.col("key") == F.col("first.key")) & (F.col("line_no") == F.col("first.line_no"))
     lost = lines.join(materialize(judged), ["h", "h2"]).where(~first | (F.col("n_earlier") > 0))
     return lost.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("lost"), F.count(F.when(first, 1)).alias("n_near"))
