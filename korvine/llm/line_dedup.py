@@ -63,7 +63,7 @@ def _segment(length: str, i: int, tau: int) -> tuple[str, str]:
 
 
 def _rows(lines: DataFrame, tau: int, own: bool, others: bool) -> DataFrame:
-    """k, h, own: the index entries of lines (own), and what they look for besides (others)."""
+    """k, h: the index entries of lines (own), and what they look for besides (others)."""
     wanted = []
     for delta in range(tau + 1):
         for i in range(tau + 1):
@@ -73,7 +73,7 @@ def _rows(lines: DataFrame, tau: int, own: bool, others: bool) -> DataFrame:
     d = lines.select("line", "h", F.length("line").alias("l"), F.explode(F.expr(f"array({', '.join(wanted)})")).alias("x")).select("line", "h", "l", F.expr("l - x.d").alias("m"), "x.i", "x.s")
     at, n = _segment("m", "i", tau)
     d = d.select("line", "h", "l", "m", "i", "s", F.expr(f"{at} + s").alias("at"), F.expr(n).alias("n")).where("at >= 1 AND at + n - 1 <= l")
-    return d.select(F.expr("xxhash64(m, i, substring(line, at, n))").alias("k"), "h", F.expr("m = l AND s = 0").alias("own"))
+    return d.select(F.expr("xxhash64(m, i, substring(line, at, n))").alias("k"), "h")
 
 
 def meetings(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
@@ -82,9 +82,12 @@ def meetings(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
     Of each bucket the join needs the least and the greatest hash only: who differs from one of them has found another
     line. All entries of a bucket with several lines are found so, and a bucket's only line is its least one.
     """
-    index = _rows(lines, tau, True, False).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    seek = _rows(lines, tau, True, True)
-    found = materialize(seek.join(index.hint("shuffle_hash"), "k").where("h <> low OR h <> high").distinct())
+    entries = _rows(lines, tau, True, False).repartition("k")  # shuffled once, read by the aggregate and by both joins
+    index = entries.groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    seek = _rows(lines, tau, False, True).join(index.hint("shuffle_hash"), "k").where("h <> low OR h <> high")
+    own = entries.join(index.hint("shuffle_hash"), "k").where("h <> low OR h <> high")
+    columns = ["k", "h", "low", "high", "own"]
+    found = materialize(seek.withColumn("own", F.lit(False)).select(*columns).union(own.withColumn("own", F.lit(True)).select(*columns)).distinct())
     hit = found.where("own").select("k", "h").union(found.select("k", "low")).union(found.select("k", "high")).distinct()
     return found.select("k", "h").distinct(), materialize(hit)
 
