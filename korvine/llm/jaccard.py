@@ -35,6 +35,10 @@ from .components import components
 WORDS = 5
 #: Similarity in percent, from which on two sets are linked.
 PERCENT = 75
+#: Pivots of a bucket.
+PIVOTS = 2
+#: Likely partners of a set, in a bucket, that are measured before all others.
+NEAREST = 3
 #: Frequent shingles that the order knows, at most: 8 bytes each, broadcast.
 FREQUENT = 1 << 18
 #: Bits of the map of sets whose shingles are fetched: what is broadcast has this size always.
@@ -171,7 +175,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
                 counted = counted[0][counted[1] > 1], counted[1][counted[1] > 1]
                 tokens, size = [], 0
         k, c = merged()
-        often = c >= max(3, len(seen) // 512)
+        often = c >= max(2, len(seen) // 2048)
         k, c = k[often].astype(np.int64), c[often]
         none = pa.nulls(len(k), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), none, pa.array(c), pa.array(k), none, pa.nulls(len(k), pa.binary())], ["kind", "doc_id", "n", "sid", "sid2", "sketch"])
@@ -302,10 +306,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """a, b, distance, linked of pairs (a, b), counted exactly."""
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, distance, linked of those pairs (a, b) of which `sets` has both, counted exactly."""
     pairs = pairs.select("a", "b")
-    sets = materialize(_sets(docs, materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,43 +329,91 @@ def _measured(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return j.mapInArrow(run, "a long, b long, distance double, linked boolean")
 
 
-def _meetings(rows: DataFrame, reach: float, percent: int) -> DataFrame:
-    """a < b of sets in one bucket, in different components, that sizes and the triangle inequality let be linked.
+def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches as rows of 2^bits counts."""
+    return np.stack([_counts(x).reshape(1 << bits, -1).sum(1) for x in sketches])
+
 
-    rows: token, sid, n, label, low, high (the distance from the bucket's pivot, or bounds of it).
+def bucket_pairs(sid: np.ndarray, n: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, sketches: list[bytes], reach: float, percent: int, best: int = 0) -> tuple[list, list]:
+    """Pairs (a, b) within a bucket, ascending in n, that components, sizes, triangle inequality and sketches leave.
+
+    With `best`, for each set only those that seem nearest by their sketches.
+    """
+    bits = np.array([len(_counts(x)).bit_length() - 1 for x in sketches])
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    a, b = [], []
+    for i in range(len(sid) - 1):
+        end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        j = np.arange(i + 1, end)
+        j = j[(label[j] != label[i]) & (low[j] - high[i] <= reach) & (low[i] - high[j] <= reach)]
+        if not len(j):
+            continue
+        k = int(bits[i])  # the larger sets have as many classes at least
+        if k not in tables:
+            rows = np.flatnonzero(bits >= k)
+            place = np.full(len(sid), -1)
+            place[rows] = np.arange(len(rows))
+            tables = {k: (_folded([sketches[r] for r in rows], k), place)}
+        m, place = tables[k]
+        share = np.minimum(m[place[i]], m[place[j]]).sum(1)
+        ok = share * (100 + percent) >= percent * (n[i] + n[j])
+        j, share = j[ok], share[ok]
+        if best and len(j) > best:
+            j = j[np.argsort(-share / (n[i] + n[j]), kind="stable")[:best]]
+        if len(j):
+            a.append(np.minimum(sid[i], sid[j]))
+            b.append(np.maximum(sid[i], sid[j]))
+    return a, b
+
+
+def _meetings(rows: DataFrame, reach: float, percent: int, best: int = 0) -> DataFrame:
+    """a < b of sets in one bucket, in different components, that sizes, sketches and the triangle inequality leave.
+
+    rows: token, sid, pivot, n, sketch, label, low, high (the distance from the bucket's pivot, or bounds of it). Buckets of
+    one pivot, which near copies have many of, come to one task, so that a pair is passed on once.
     """
+    most = 1 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for pdf in batches:
+        seen.clear()
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
             if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            cut = int(np.searchsorted(pdf.token.to_numpy(), pdf.token.iloc[-1])) if len(pdf) else 0
-            rest = pdf.iloc[cut:]
-            yield from pairs_of(pdf.iloc[:cut])
+                t = pa.concat_tables([rest, t])
+            token = t.column("token").to_numpy()
+            cut = len(token) - int(np.argmax(token[::-1] != token[-1])) if len(token) and (token != token[-1]).any() else 0
+            rest = t.slice(cut)
+            yield from found(t.slice(0, cut))
         if rest is not None:
-            yield from pairs_of(rest)
+            yield from found(rest)
 
-    def pairs_of(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        t = pdf.token.to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]]) if len(t) else []
-        sid, n, label, low, high = (pdf[c].to_numpy() for c in ("sid", "n", "label", "low", "high"))
+    seen: set[int] = set()
+
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        token = t.column("token").to_numpy()
+        if not len(token):
+            return
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
+        sid, n, label, low, high = (t.column(c).to_numpy() for c in ("sid", "n", "label", "low", "high"))
+        sketches = t.column("sketch")
         a, b = [], []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2 or (label[lo:hi] == label[lo]).all():
-                continue
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, hi)
-                ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (low[j] - high[i] <= reach) & (low[i] - high[j] <= reach)
-                j = j[ok]
-                if len(j):
-                    a.append(np.minimum(sid[i], sid[j]))
-                    b.append(np.maximum(sid[i], sid[j]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if hi - lo > 1 and not (label[lo:hi] == label[lo]).all():
+                x, y = bucket_pairs(sid[lo:hi], n[lo:hi], label[lo:hi], low[lo:hi], high[lo:hi], sketches.slice(lo, hi - lo).to_pylist(), reach, percent, best)
+                a += x
+                b += y
         if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            pairs = np.stack([np.concatenate(a), np.concatenate(b)])
+            keys = mix64(mix64(pairs[0].astype(np.uint64)) + pairs[1].astype(np.uint64)).tolist()
+            new = [k not in seen and not seen.add(k) for k in keys]
+            pairs = pairs[:, np.array(new, bool)]
+            if len(seen) > most:  # later repetitions pass then, and go in the distinct below
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    r = rows.repartition("token").sortWithinPartitions("token", "n")
-    return r.mapInPandas(run, "a long, b long").distinct()
+    r = rows.repartition("pivot").sortWithinPartitions("pivot", "token", "n")
+    return r.mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -367,25 +422,43 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> t
     rows = narrow.where("kind = 0").select("doc_id", "n", "sid")
     nodes = materialize(narrow.where("kind = 0 AND sketch IS NOT NULL").select("sid", "n", "sketch").dropDuplicates(["sid"]))
     buckets = materialize(_buckets(_index(docs, _frequent(narrow, frequent))))
-    near = buckets.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    # more pivots for each bucket: a near copy that one misses is likely to lie near another, and to need no meetings then
+    pivots = [F.min_by("sid", F.xxhash64(F.lit(k), "sid")).alias(f"p{k}") for k in range(PIVOTS - 1)]
+    others = buckets.join(buckets.groupBy("token").agg(*pivots), "token").select("sid", F.explode(F.array("pivot", *[f"p{k}" for k in range(PIVOTS - 1)])).alias("p"))
+    near = others.where("sid <> p").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
     bounds = materialize(_bounded(near, nodes, percent))
-    measured = materialize(_measured(bounds.where("maybe"), docs, percent))
-    links = measured.where("linked").select("a", "b")
-    labels = materialize(components(links))
+    sets = materialize(_sets(docs, materialize(_ids(bounds.where("maybe")))))
+    measured = materialize(_measured(bounds.where("maybe"), sets, percent))
+    labels = materialize(components(measured.where("linked")))
     # what is known of the distance of a set from its bucket's pivot
-    known = bounds.join(measured.select("a", "b", "distance"), ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("sid"), F.coalesce("distance", "low").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
-    # buckets whose sets are not all of one component, and not just a pivot and another set, which have been measured
-    labelled = buckets.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    labelled = materialize(labelled)
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("token")
-    open_ = labelled.join(materialize(mixed), "token", "left_semi").where("sid <> pivot")
-    open_ = open_.join(known, ["sid", "pivot"]).join(nodes.select("sid", "n"), "sid").select("token", "sid", "n", "label", "low", "high")
-    more = materialize(_meetings(open_, 1 - percent / 100 + 1e-9, percent))
-    rest = materialize(_bounded(more, nodes, percent)).where("maybe")
+    # (the pivot, the smallest id of its bucket, is `a` in every pair with another set of the bucket)
+    known = bounds.join(measured.select("a", "b", "distance"), ["a", "b"], "left")
+    known = materialize(known.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), F.coalesce("distance", "low").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high")))
+    reach = 1 - percent / 100 + 1e-9
+
+    def open_rows() -> DataFrame:
+        """Rows of buckets whose sets are not all of one component, and not just a pivot and another set: those have met."""
+        labelled = materialize(buckets.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+        mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("token")
+        out = labelled.join(materialize(mixed), "token", "left_semi").where("sid <> pivot")
+        # of buckets with the very same sets one is enough
+        alike = out.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"))
+        out = out.join(materialize(alike.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")), "token", "left_semi")
+        return out.join(known, ["sid", "pivot"]).join(nodes.select("sid", "n", "sketch"), "sid").select("token", "sid", "pivot", "n", "sketch", "label", "low", "high")
+
+    def joined(links: DataFrame) -> DataFrame:
+        return materialize(components(links.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+
+    # first the likeliest partners of each set, as far as their shingles are at hand: most components grow together
+    likely = materialize(_measured(_meetings(open_rows(), reach, percent, NEAREST), sets, percent)).where("linked")
+    if not likely.isEmpty():
+        labels = joined(likely)
+    # then all that is left
+    rest = materialize(_bounded(materialize(_meetings(open_rows(), reach, percent)), nodes, percent)).where("maybe")
     if not rest.isEmpty():
-        new = materialize(_measured(rest, docs, percent)).where("linked").select("a", "b")
+        new = materialize(_measured(rest, materialize(_sets(docs, materialize(_ids(rest)))), percent)).where("linked")
         if not new.isEmpty():
-            labels = materialize(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+            labels = joined(new)
     return rows, labels
 
 
