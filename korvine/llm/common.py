@@ -60,4 +60,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rows of a map of hashes, 2^15 bits (4 KB) each: what is broadcast has this size at most.
+MAP_ROWS = 2048
+
+
+def _bit(c: str) -> tuple[Column, Column]:
+    """(row, bit) of a hash in the map."""
+    spread = F.pmod(F.xxhash64(c), F.lit(MAP_ROWS * 32768))
+    return (F.shiftright(spread, 15)).cast("int"), (spread % 32768).cast("int")
+
+
+def hash_map(hashes: DataFrame) -> DataFrame:
+    """A bit map of the hashes in column h, of MAP_ROWS rows of 4 KB at most, whatever the number of hashes."""
+    row, bit = _bit("h")
+    return hashes.select(row.alias("row"), bit.cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Adds `in_map`: whether the bit of a row's h is set, as it is for the hashes of the map and some others."""
+    row, bit = _bit("h")
+    byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
+    named = rows.withColumn("row", row).withColumn("bit", bit).join(F.broadcast(bits), "row", "left")  # MAP_ROWS rows at most
+    return named.withColumn("in_map", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0, F.lit(False))).drop("row", "bit", "bits")
+
+
 ship(__name__)

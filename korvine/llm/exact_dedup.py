@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, materialize, mix64, ship
+from .common import SPACE, hash_map, marked, materialize, mix64, ship
 
 #: Keys of one filter at most, on average: bounds a filter to about 1.2 bytes times as much.
 KEYS_PER_FILTER = 250_000
@@ -141,12 +141,14 @@ def dedup(docs: DataFrame, batch: Column, batches: int, keys_per_filter: int = K
         several = several.union(s)
     several = materialize(several.distinct())
     # the exact buckets: whole texts of digests that occur again, against one text of each
-    again = rows.join(several, "digest", "left_semi").select("digest", "doc_id", "n_points", "norm")
+    # (a map of fixed size keeps most other texts from being shuffled)
+    some = marked(rows.withColumn("h", F.xxhash64("digest")), hash_map(several.select(F.xxhash64("digest").alias("h")))).where("in_map")
+    again = some.join(several.hint("shuffle_hash"), "digest", "left_semi").select("digest", "doc_id", "n_points", "norm")
     first = base.join(several, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_points")).alias("f")).select("digest", F.col("f.doc_id").alias("f_id"), F.col("f.n_points").alias("f_points"))
     first = materialize(first)
     again = materialize(again, "lz4")
-    texts = again.join(first, "digest").where(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("n_points") == F.col("f_points"))).select("digest", F.col("norm").alias("f_norm")).dropDuplicates(["digest"])
-    other = again.join(texts, "digest").where(F.col("norm") != F.col("f_norm")).select("digest", F.col("doc_id").alias("o_id"), F.col("n_points").alias("o_points"), F.col("norm").alias("sub")).distinct()
+    texts = again.join(first.hint("shuffle_hash"), "digest").where(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("n_points") == F.col("f_points"))).select("digest", F.col("norm").alias("f_norm")).dropDuplicates(["digest"])
+    other = again.join(texts.hint("shuffle_hash"), "digest").where(F.col("norm") != F.col("f_norm")).select("digest", F.col("doc_id").alias("o_id"), F.col("n_points").alias("o_points"), F.col("norm").alias("sub")).distinct()
     other = materialize(other)
     if other.isEmpty():
         final = base.withColumn("sub", F.lit(""))

@@ -17,12 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import NOT_SPACE, materialize
+from .common import NOT_SPACE, hash_map, marked, materialize
 
 TAU = 2
 LEAST_CHARS, LEAST_FUZZY = 16, 32
-#: Bits of the map of lines that some other line meets (2^15 a row of 4 KB): what is broadcast has this size always.
-MAP_ROWS = 2048
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -92,29 +90,9 @@ def meetings(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
     return found.select("k", "h").distinct(), materialize(hit)
 
 
-def _bit(c: str) -> tuple[Column, Column]:
-    """(row, bit) of a hash in the map."""
-    spread = F.pmod(F.xxhash64(c), F.lit(MAP_ROWS * 32768))
-    return (F.shiftright(spread, 15)).cast("int"), (spread % 32768).cast("int")
-
-
-def line_map(hashes: DataFrame) -> DataFrame:
-    """A bit map of the hashes in column h, of MAP_ROWS rows of 4 KB at most."""
-    row, bit = _bit("h")
-    return hashes.select(row.alias("row"), bit.cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def marked(lines: DataFrame, bits: DataFrame) -> DataFrame:
-    """Adds `in_map`: whether a line's bit is set, as it is for those of the map and a few others."""
-    row, bit = _bit("h")
-    byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
-    named = lines.withColumn("row", row).withColumn("bit", bit).join(F.broadcast(bits), "row", "left")  # MAP_ROWS rows at most
-    return named.withColumn("in_map", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0, F.lit(False))).drop("row", "bit", "bits")
-
-
 def _once(lines: DataFrame, found: DataFrame) -> DataFrame:
     """The distinct lines: those that the map of repeated lines leaves out, and of the others one each."""
-    m = marked(lines, line_map(found.where(F.col("n") > 1)))
+    m = marked(lines, hash_map(found.where(F.col("n") > 1)))
     often = materialize(m.where("in_map").drop("in_map").dropDuplicates(["h", "h2"]))
     return m.where("NOT in_map").drop("in_map").unionByName(often)
 
@@ -124,7 +102,7 @@ def near(lines: DataFrame, found: DataFrame, tau: int = TAU) -> DataFrame:
     long = _once(lines.where(F.length("line") >= LEAST_FUZZY).select("h", "h2", "line"), found)
     found, hit = meetings(long, tau)
     some = found.select("h").union(hit.select("h")).distinct()
-    texts = materialize(marked(long, line_map(some)).where("in_map").drop("in_map").join(some, "h", "left_semi").dropDuplicates(["h", "h2"]).withColumn("sig", signature("line")))
+    texts = materialize(marked(long, hash_map(some)).where("in_map").drop("in_map").join(some, "h", "left_semi").dropDuplicates(["h", "h2"]).withColumn("sig", signature("line")))
     sigs = texts.select("h", "sig")
     left, right = found.join(sigs, "h"), hit.join(sigs, "h").select("k", F.col("h").alias("g"), F.col("sig").alias("sig2"))
     # a bucket's lines meet within the join, which passes on only those that the signatures let be near
