@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of whole texts be small, where the session has Spark's default: it bounds a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write `df` as Parquet to the shared folder and read it back.
 

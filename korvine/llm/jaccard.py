@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, mix64, ship
+from .common import materialize, mix64, ship, small_batches
 from .components import components
 
 WORDS = 5
@@ -418,6 +418,7 @@ def _meetings(rows: DataFrame, reach: float, percent: int, best: int = 0) -> Dat
 
 def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid of every row of `docs` (doc_id, text); node, label of the sets that have links)."""
+    small_batches(docs.sparkSession)
     narrow = materialize(_narrow(docs))
     rows = narrow.where("kind = 0").select("doc_id", "n", "sid")
     nodes = materialize(narrow.where("kind = 0 AND sketch IS NOT NULL").select("sid", "n", "sketch").dropDuplicates(["sid"]))

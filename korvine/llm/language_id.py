@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, mix64, ship
+from .common import materialize, mix64, ship, small_batches
 
 SAMPLE, LANGUAGES = 4000, 64
 BUCKETS = 1 << 16
@@ -196,6 +196,7 @@ KEYS = ["declared", "suffix", "host", "domain"]
 
 def identify(rows: DataFrame, model: Model, html: bool = False) -> DataFrame:
     """id, declared, suffix, host, domain, n, lang, probability of rows of evidence."""
+    small_batches(rows.sparkSession)
     narrow = materialize(votes(rows, model, html))
     if not model.languages:
         return narrow.drop("ll").withColumn("lang", F.lit(None).cast("string")).withColumn("probability", F.lit(0.0))
@@ -210,6 +211,7 @@ def accepted_documents(docs: DataFrame, model: Model, least: float = LEAST_POSTE
     names = docs.columns
     if not model.languages:  # without a labelled row no language is clear
         return docs.where(F.lit(False))
+    small_batches(docs.sparkSession)
     rows = document_evidence(docs)
     priors = materialize(evidence(materialize(votes(rows, model, False)), model))
     ev = {c: rows.schema[c] for c in KEYS}

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -172,6 +172,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
 
 def pack_documents(docs: DataFrame, ranks: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     p = materialize(pieces(docs, ranks, capacity))
     groups = max(1, math.ceil(p.where(F.col("length") < capacity).count() / group_pieces))
     full = p.where(F.col("length") == capacity)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ship
+from .common import ship, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -222,6 +222,7 @@ def scan(docs: DataFrame) -> DataFrame:
             if len(pdf):
                 yield pd.DataFrame({"doc_id": pdf.doc_id, **rows})
 
+    small_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)  # pandas would make longs with nulls doubles
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import materialize, shared_folder, ship
 
@@ -35,7 +35,7 @@ HEADER_BYTES = 16_384
 CANDIDATE = "file string, offset long, successor long, uri string, page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _base32_sha1(html: pd.Series) -> pd.Series:
     return html.map(lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode())
 
