@@ -284,7 +284,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, set (hashes) of the wanted sids; a map of fixed size keeps most others from being shuffled."""
     bit = F.pmod("sid", F.lit(MAP_BITS))  # ids are hashes
-    rows = wanted.select((bit / 32768).cast("int").alias("row"), (bit % 32768).cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator()
+    rows = wanted.select((bit / 32768).cast("int").alias("row"), (bit % 32768).cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 2048 rows of 4 KB at most
     bitmap = np.zeros(MAP_BITS // 8, np.uint8)
     for r in rows:
         bitmap[r.row * 4096 : (r.row + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
