@@ -454,8 +454,8 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> t
     likely = materialize(_measured(_meetings(open_rows(), reach, percent, NEAREST), sets, percent)).where("linked")
     if not likely.isEmpty():
         labels = joined(likely)
-    # then all that is left
-    rest = materialize(_bounded(materialize(_meetings(open_rows(), reach, percent)), nodes, percent)).where("maybe")
+    # then all that is left; meetings have gone by sizes and sketches, so what remains is counted
+    rest = materialize(_meetings(open_rows(), reach, percent))
     if not rest.isEmpty():
         new = materialize(_measured(rest, materialize(_sets(docs, materialize(_ids(rest)))), percent)).where("linked")
         if not new.isEmpty():
