@@ -115,8 +115,8 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts by hash class, the number of classes being a power of two near a quarter of the set's size."""
-    bits = min(max(6, (max(len(s), 4) // 4 - 1).bit_length()), 13)
+    """Counts by hash class, the number of classes being a power of two near half of the set's size."""
+    bits = min(max(6, (max(len(s), 2) // 2 - 1).bit_length()), 13)
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 255).astype(np.uint8).tobytes() if counts.max() <= 255 else counts.astype("<u4").tobytes() + b"4"
 
@@ -331,7 +331,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
     """Sketches as rows of 2^bits counts."""
-    return np.stack([_counts(x).reshape(1 << bits, -1).sum(1) for x in sketches])
+    return np.stack([_counts(x).reshape(1 << bits, -1).sum(1) for x in sketches]).astype(np.int32)
 
 
 def bucket_pairs(sid: np.ndarray, n: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, sketches: list[bytes], reach: float, percent: int, best: int = 0) -> tuple[list, list]:
