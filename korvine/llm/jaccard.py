@@ -43,6 +43,11 @@ NEAREST = 3
 FREQUENT = 1 << 18
 #: Bits of the map of sets whose shingles are fetched: what is broadcast has this size always.
 MAP_BITS = 1 << 26
+#: Rows that one group of `_meetings` has, about: larger ones are split.
+GROUP_ROWS = 4096
+#: Smallest tokens that a set of a split pivot carries, by which a pair knows the one part that passes it on.
+CARRIED = 32
+_NONE = np.iinfo(np.int64).max
 _CHUNK = 1 << 19
 _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -334,10 +339,10 @@ def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
     return np.stack([_counts(x).reshape(1 << bits, -1).sum(1) for x in sketches]).astype(np.int32)
 
 
-def bucket_pairs(sid: np.ndarray, n: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, sketches: list[bytes], reach: float, percent: int, best: int = 0) -> tuple[list, list]:
+def bucket_pairs(sid: np.ndarray, n: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, sketches: list[bytes], reach: float, percent: int, best: int = 0, side: np.ndarray | None = None) -> tuple[list, list]:
     """Pairs (a, b) within a bucket, ascending in n, that components, sizes, triangle inequality and sketches leave.
 
-    With `best`, for each set only those that seem nearest by their sketches.
+    With `best`, for each set only those that seem nearest by their sketches. With `side`, only pairs of different sides.
     """
     bits = np.array([len(_counts(x)).bit_length() - 1 for x in sketches])
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -346,6 +351,8 @@ def bucket_pairs(sid: np.ndarray, n: np.ndarray, label: np.ndarray, low: np.ndar
         end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
         j = np.arange(i + 1, end)
         j = j[(label[j] != label[i]) & (low[j] - high[i] <= reach) & (low[i] - high[j] <= reach)]
+        if side is not None:
+            j = j[side[j] != side[i]]
         if not len(j):
             continue
         k = int(bits[i])  # the larger sets have as many classes at least
@@ -366,11 +373,51 @@ def bucket_pairs(sid: np.ndarray, n: np.ndarray, label: np.ndarray, low: np.ndar
     return a, b
 
 
+def _grouped(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """rows (token, sid, pivot, ...) with group, part and side: what is compared together, in groups of about `most` rows.
+
+    Buckets of one pivot share a part, so that a pair, which meets in many of its buckets, is passed on once. A pivot with
+    more rows has several parts (parts, slot); its sets carry their smallest tokens there. A bucket with more rows is cut
+    into blocks by its sets' hashes, and each pair of blocks is a group, in which side tells the blocks apart; side is -1
+    within a block. No pair of a bucket is lost.
+    """
+    most = most or GROUP_ROWS
+    many = lambda c, n: materialize(rows.groupBy(c).agg(F.ceil(F.count("*") / most).cast("int").alias(n)).where(F.col(n) > 1))
+    hot = many("pivot", "parts")
+    lists = rows.join(hot, "pivot", "left_semi").groupBy("sid", "pivot").agg(F.slice(F.sort_array(F.collect_list("token")), 1, CARRIED).alias("carried"))
+    r = rows.join(hot, "pivot", "left").join(many("token", "blocks"), "token", "left").join(materialize(lists), ["sid", "pivot"], "left")
+    r = r.withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    r = r.withColumn("slot", F.pmod("token", "parts")).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "sid"), "blocks").cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("block", "other"), F.greatest("block", "other")
+    r = r.withColumns({"group": F.xxhash64("token", x, y), "part": F.xxhash64("pivot", "slot", x, y), "side": F.when(x == y, F.lit(-1)).otherwise(F.col("block")), "carried": F.coalesce("carried", F.array().cast("array<long>"))})
+    return r.drop("blocks", "block", "other")
+
+
+def _lists(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of at most CARRIED longs as rows, filled up with _NONE."""
+    c = column.combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    at, values = c.offsets.to_numpy(), c.values.to_numpy()
+    n = np.diff(at)
+    out = np.full((len(n), CARRIED), _NONE)
+    out[np.repeat(np.arange(len(n)), n), np.arange(at[-1] - at[0]) - np.repeat(at[:-1] - at[0], n)] = values[at[0] : at[-1]]
+    return out
+
+
+def here(x: np.ndarray, y: np.ndarray, parts: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether this part passes a pair on: it has the least token that both sets carry, or they carry none in common."""
+    both = np.sort(np.concatenate([x, y], 1), 1)
+    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
+    token = both[np.arange(len(both)), same.argmax(1)]
+    return ~same.any(1) | (token % parts == slot)
+
+
 def _meetings(rows: DataFrame, reach: float, percent: int, best: int = 0) -> DataFrame:
     """a < b of sets in one bucket, in different components, that sizes, sketches and the triangle inequality leave.
 
-    rows: token, sid, pivot, n, sketch, label, low, high (the distance from the bucket's pivot, or bounds of it). Buckets of
-    one pivot, which near copies have many of, come to one task, so that a pair is passed on once.
+    rows: group, part, side, parts, slot and carried of `_grouped`, sid, n, sketch, label, low, high (the distance from the bucket's pivot, or
+    bounds of it). The groups of a part come to one task, and of a pivot's parts one passes a pair on.
     """
     most = 1 << 20
 
@@ -381,7 +428,7 @@ def _meetings(rows: DataFrame, reach: float, percent: int, best: int = 0) -> Dat
             t = pa.Table.from_batches([batch])
             if rest is not None:
                 t = pa.concat_tables([rest, t])
-            token = t.column("token").to_numpy()
+            token = t.column("group").to_numpy()
             cut = len(token) - int(np.argmax(token[::-1] != token[-1])) if len(token) and (token != token[-1]).any() else 0
             rest = t.slice(cut)
             yield from found(t.slice(0, cut))
@@ -391,28 +438,42 @@ def _meetings(rows: DataFrame, reach: float, percent: int, best: int = 0) -> Dat
     seen: set[int] = set()
 
     def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        token = t.column("token").to_numpy()
+        token = t.column("group").to_numpy()
         if not len(token):
             return
         edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-        sid, n, label, low, high = (t.column(c).to_numpy() for c in ("sid", "n", "label", "low", "high"))
+        sid, n, label, low, high, side = (t.column(c).to_numpy() for c in ("sid", "n", "label", "low", "high", "side"))
+        parts, slot = t.column("parts").to_numpy(), t.column("slot").to_numpy()
         sketches = t.column("sketch")
-        a, b = [], []
+        a, b, rows_a, rows_b = [], [], [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if hi - lo > 1 and not (label[lo:hi] == label[lo]).all():
-                x, y = bucket_pairs(sid[lo:hi], n[lo:hi], label[lo:hi], low[lo:hi], high[lo:hi], sketches.slice(lo, hi - lo).to_pylist(), reach, percent, best)
-                a += x
-                b += y
+                x, y = bucket_pairs(sid[lo:hi], n[lo:hi], label[lo:hi], low[lo:hi], high[lo:hi], sketches.slice(lo, hi - lo).to_pylist(), reach, percent, best, side[lo:hi] if side[lo] >= 0 else None)
+                if x:
+                    x, y = np.concatenate(x), np.concatenate(y)
+                    order = lo + np.argsort(sid[lo:hi])
+                    rows_a.append(order[np.searchsorted(sid[order], x)])
+                    rows_b.append(order[np.searchsorted(sid[order], y)])
+                    a.append(x)
+                    b.append(y)
         if a:
             pairs = np.stack([np.concatenate(a), np.concatenate(b)])
-            keys = mix64(mix64(pairs[0].astype(np.uint64)) + pairs[1].astype(np.uint64)).tolist()
+            keys = mix64(mix64(mix64(pairs[0].astype(np.uint64)) + pairs[1].astype(np.uint64)) + t.column("part").to_numpy()[np.concatenate(rows_a)].astype(np.uint64)).tolist()
             new = [k not in seen and not seen.add(k) for k in keys]
-            pairs = pairs[:, np.array(new, bool)]
+            new = np.flatnonzero(new)
+            pairs, x, y = pairs[:, new], np.concatenate(rows_a)[new], np.concatenate(rows_b)[new]
+            split = np.flatnonzero(parts[x] > 1)
+            if len(split):
+                lists, stays = _lists(t.column("carried")), np.ones(len(new), bool)
+                for k in range(0, len(split), 1 << 14):
+                    i = split[k : k + (1 << 14)]
+                    stays[i] = here(lists[x[i]], lists[y[i]], parts[x[i]], slot[x[i]])
+                pairs = pairs[:, stays]
             if len(seen) > most:  # later repetitions pass then, and go in the distinct below
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    r = rows.repartition("pivot").sortWithinPartitions("pivot", "token", "n")
+    r = rows.repartition("part").sortWithinPartitions("part", "group", "n")
     return r.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -445,7 +506,8 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> t
         # of buckets with the very same sets one is enough
         alike = out.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"))
         out = out.join(materialize(alike.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")), "token", "left_semi")
-        return out.join(known, ["sid", "pivot"]).join(nodes.select("sid", "n", "sketch"), "sid").select("token", "sid", "pivot", "n", "sketch", "label", "low", "high")
+        out = materialize(out.select("token", "sid", "pivot", "label").join(known, ["sid", "pivot"]))
+        return _grouped(out).join(nodes.select("sid", "n", "sketch"), "sid").select("group", "part", "side", "parts", "slot", "carried", "sid", "n", "sketch", "label", "low", "high")
 
     def joined(links: DataFrame) -> DataFrame:
         return materialize(components(links.select("a", "b").unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))

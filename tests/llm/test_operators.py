@@ -45,7 +45,9 @@ def test_odd_rows_and_empty_tables(spark):
         assert len(back) == n
 
 
-def test_jaccard_components(spark):
+@pytest.mark.parametrize("rows", [4096, 12])
+def test_jaccard_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", rows)
     rng = np.random.default_rng(3)
     base = [[f"w{rng.integers(10**6)}" for _ in range(120)] for _ in range(5)]
     docs = []
@@ -158,3 +160,39 @@ def test_pipeline_keeps_the_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_split_groups_keep_every_pair(spark):
+    """Hot pivots and buckets of any size: each pair of sets of a bucket is compared in some group, and groups are small."""
+    from collections import Counter, defaultdict
+    from itertools import combinations
+
+    rows = [(t, s, 0 if t < 4 else t) for t in range(8) for s in range(100 if t == 1 else 9)]
+    df = spark.createDataFrame(rows, "token long, sid long, pivot long")
+    members, wanted = defaultdict(list), Counter()
+    for r in jaccard._grouped(df, 10).collect():
+        members[r.part, r.group].append((r.sid, r.side, r.token))
+    for held in members.values():
+        assert len(held) < 50 and len({t for *_, t in held}) == 1
+        wanted.update((held[0][2], *sorted((a[0], b[0]))) for a, b in combinations(held, 2) if a[1] < 0 or a[1] != b[1])
+    assert wanted == Counter((t, a, b) for t in range(8) for a, b in combinations(sorted(s for u, s, _ in rows if u == t), 2))
+
+
+def test_split_pivots_pass_pairs_on_once(spark):
+    """Of all parts of a hot pivot one passes a pair on, and every pair is passed on."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    # most pairs share all of 60 tokens; some sets share one token only with the others
+    rows = [(t * 7919, s, -1) for t in range(60) for s in range(40)] + [(1_000_003, s, -1) for s in range(35, 60)]
+    df = spark.createDataFrame(rows, "token long, sid long, pivot long").withColumns({"n": F.lit(5).cast("long"), "label": F.col("sid"), "low": F.lit(0.0), "high": F.lit(1.0), "sketch": F.lit(bytearray(jaccard.sketch(np.arange(5, dtype=np.uint64))))})
+    g = jaccard._grouped(df, 100)
+    assert g.select("part").distinct().count() > 10
+    got = jaccard._meetings(g, 0.25, 75).collect()
+    wanted = {p for group in (range(40), range(35, 60)) for p in combinations(group, 2)}
+    assert {(r.a, r.b) for r in got} == wanted and len(got) == len(wanted)
+    x = np.array([[1, 5, 9, jaccard._NONE], [2, 6, jaccard._NONE, jaccard._NONE]])
+    y = np.array([[5, 9, jaccard._NONE, jaccard._NONE], [3, 7, jaccard._NONE, jaccard._NONE]])
+    assert jaccard.here(x, y, np.array([4, 4]), np.array([1, 0])).tolist() == [True, True]
+    assert jaccard.here(x, y, np.array([4, 4]), np.array([2, 0])).tolist() == [False, True]
