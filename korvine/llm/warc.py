@@ -4,9 +4,10 @@ Writing: a record per page. Of equal payloads the page with the smallest id is a
 without payload. Spark's text writer makes the files (records end with an empty line twice, its separator), so any file
 system that Spark knows will do; a file holds a bounded number of records.
 
-Reading: tasks look for the magic of a record anywhere in the bytes, parse the header found there and emit candidate
-edges from a record to its successor (offset + header + Content-Length + 4). Magic inside payloads gives candidates too.
-Pointer jumping from offset 0 over the edges of a file, doubling the jumps each round, keeps what the file start reaches.
+Reading: tasks look for the magic of a record at the start of the bytes and after each separator, parse the header found
+there, however long, and emit candidate edges from a record to its successor (offset + header + Content-Length + 4). Magic
+inside payloads gives candidates too. Pointer jumping from offset 0 over the edges of a file, doubling the jumps each
+round, keeps what the file start reaches. A file whose chain does not end at its length is an error.
 
 Nulls: null html is an empty payload; a null page_id comes last among equal payloads, and equal ids of equal payloads are
 all responses. Empty table: an archive without records. Pages with the same id and payload (repeated rows) get a record each.
@@ -30,9 +31,7 @@ MAGIC = b"WARC/1."
 END = "\r\n\r\n"
 #: Records of a file at most: bounds what one reading task holds.
 FILE_RECORDS = 2000
-#: A header longer than this is not one of ours.
-HEADER_BYTES = 16_384
-CANDIDATE = "file string, offset long, successor long, uri string, page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+CANDIDATE = "file string, file_bytes long, offset long, successor long, uri string, page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
 @F.pandas_udf(T.StringType())
@@ -71,7 +70,7 @@ def write(pages: DataFrame, path: str | None = None, least_revisit: int = 0, fil
 
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """(fields in lower case, where the block begins) of a record that starts at `at`, or None."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return None
     first, *lines = data[at:end].split(b"\r\n")
@@ -92,18 +91,23 @@ def _page(uri: str) -> str | None:
 
 
 def file_candidates(name: str, data: bytes) -> Iterator[tuple]:
-    """A candidate for every place of the magic that a header follows."""
-    at = data.find(MAGIC)
+    """A candidate for every place of the magic, at the start or after a separator, that a header follows.
+
+    No header holds a separator, so those of different places do not overlap and the search is linear in the bytes.
+    """
+    mark = END.encode()
+    at = 0
     while at >= 0:
-        if got := parse_header(data, at):
+        if data.startswith(MAGIC, at) and (got := parse_header(data, at)):
             f, block = got
             n = int(f["content-length"])
             payload = data[block : block + n]
             whole = f.get("warc-type") == "response" and len(payload) == n
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else f.get("warc-payload-digest", "").removeprefix("sha1:")
             size = n if whole else int(f["x-payload-length"]) if f.get("x-payload-length", "").isdigit() else None
-            yield name, at, block + n + 4, f.get("warc-target-uri"), _page(f.get("warc-record-id", "")), f.get("warc-type"), _page(f.get("warc-refers-to", "")), size, digest
-        at = data.find(MAGIC, at + 1)
+            yield name, len(data), at, block + n + 4, f.get("warc-target-uri"), _page(f.get("warc-record-id", "")), f.get("warc-type"), _page(f.get("warc-refers-to", "")), size, digest
+        at = data.find(mark + MAGIC, at)
+        at += 4 if at >= 0 else 0
 
 
 def _columns() -> list[str]:
@@ -118,6 +122,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for name, data in zip(pdf.path, pdf.content, strict=True):
                 rows = list(file_candidates(name, bytes(data)))
+                if not rows or rows[0][2] != 0:
+                    raise ValueError(f"{name} does not begin with a record")
                 yield pd.DataFrame(rows, columns=_columns()).astype(types)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
@@ -143,14 +149,17 @@ def verified(found: DataFrame) -> DataFrame:
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("offset", ignore_index=True)
-        return pdf[reachable(pdf.offset.to_numpy(), pdf.successor.to_numpy())]
+        pdf = pdf[reachable(pdf.offset.to_numpy(), pdf.successor.to_numpy())]
+        if pdf.successor.iloc[-1] != pdf.file_bytes.iloc[-1]:
+            raise ValueError(f"the records of {pdf.file.iloc[0]} end at byte {pdf.successor.iloc[-1]} of {pdf.file_bytes.iloc[0]}")
+        return pdf
 
     return found.groupBy("file").applyInPandas(keep, CANDIDATE)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: file, offset, uri, page_id, record_type, refers_to, payload_bytes, payload_digest."""
-    out = verified(candidates(spark, path)).drop("successor")
+    out = verified(candidates(spark, path)).drop("successor", "file_bytes")
     return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 

@@ -134,6 +134,23 @@ def test_magic_inside_payloads(spark):
     assert back == {1: ("response", None, n), 2: ("response", None, 1), 3: ("revisit", 1, n), 4: ("response", None, 0)}
 
 
+def test_headers_of_any_length(spark):
+    """A url of 100 KB takes no record away, and a file whose records do not reach its end is an error."""
+    long = "http://x.example/" + "a" * 100_000
+    pages = [(1, long, "first"), (2, "u", "second"), (3, long + "b", "third"), (4, "u", "fourth")]
+    path = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1))
+    back = {r.page_id: (r.uri, r.payload_bytes) for r in warc.read(spark, path).collect()}
+    assert back == {i: (url, len(html)) for i, url, html in pages}
+    (name, data), *rest = spark.sparkContext.binaryFiles(f"{path}/part-*").filter(lambda x: len(x[1])).collect()
+    whole = list(warc.file_candidates(name, data))
+    assert not rest and len(whole) == 4 and whole[-1][3] == len(data)
+    for bad in (data[: whole[2][2] + 20], b"x" + data):
+        folder = f"{path}-cut-{len(bad)}"
+        spark.createDataFrame([(bytearray(bad).decode(),)], "value string").coalesce(1).write.option("lineSep", "\n").text(folder)
+        with pytest.raises(Exception, match="end at byte|begin with a record"):
+            warc.read(spark, folder).collect()
+
+
 def test_field_carries_labels_on():
     text = "card 4984250489669609 here and again 4984-2504-8966-9609, mail hsr.29@mail5.example.com then HSR.29@MAIL5.example.com"
     base, every = pii.find(text)
