@@ -2,13 +2,14 @@
 
 The patterns give the base spans. The nodes of the field are the tokens of a document that overlap a base span, hold a
 digit or an at sign, or repeat a base token in other letters or separators. Neighbours are joined by chain edges; equal
-and similar tokens, however far apart, by skip edges, along which they share potentials. Loopy belief propagation
-(sum-product, damped) then gives each node a label; nodes of base spans are clamped. Tokens outside the base spans with
-a label of enough belief become added spans. Weights are fixed parameters (WEIGHTS).
+and similar tokens, however far apart, share potentials: each has a skip edge to every occurrence of its keys in a base
+span, and the others of a key, if more than two, are joined through a hub, a node without a token of its own. Loopy belief
+propagation (sum-product, damped) then gives each node a label; nodes of base spans are clamped. Tokens outside the base
+spans with a label of enough belief become added spans. Weights are fixed parameters (WEIGHTS).
 
 Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows give repeated results. Empty table:
 no rows. Offsets are code points, with the end exclusive. A document is one task's work, whatever its length; edges are
-linear in the tokens (occurrences of a key form a chain).
+linear in the tokens (those to clamped nodes are counts by label, the others lead to hubs).
 """
 
 from __future__ import annotations
@@ -168,7 +169,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         return []
     u = np.array([unary(x[3]) for x in nodes])
     edges, weight, same_none = [], [], []
-    by_key: dict[str, tuple[int, bool]] = {}
+    clamped: dict[str, np.ndarray] = defaultdict(lambda: np.zeros((2, len(LABELS))))  # of a key: similar and equal tokens in base spans, by label
+    others: dict[str, list[tuple[int, bool]]] = defaultdict(list)
     for i, (_, _, number, token, label) in enumerate(nodes):
         if label:
             u[i] = 0
@@ -178,12 +180,27 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
             weight.append(WEIGHTS["chain"])
             same_none.append(False)
         for key, equal in keys_of(token):
-            if key in by_key:
-                before, was_equal = by_key[key]
-                edges.append((before, i))
-                weight.append(WEIGHTS["skip" if equal and was_equal else "similar"])
+            if label:
+                clamped[key][int(equal), label] += 1
+            else:
+                others[key].append((i, equal))
+    hubs = 0
+    for key, held in others.items():
+        if key in clamped:  # edges to nodes of known labels
+            similar, same = clamped[key]
+            for i, equal in held:
+                u[i] += WEIGHTS["similar"] * similar + WEIGHTS["skip" if equal else "similar"] * same
+        if len(held) == 2:
+            edges.append((held[0][0], held[1][0]))
+            weight.append(WEIGHTS["skip" if held[0][1] and held[1][1] else "similar"])
+            same_none.append(True)
+        elif len(held) > 2:
+            for i, equal in held:
+                edges.append((len(nodes) + hubs, i))
+                weight.append(WEIGHTS["skip" if equal else "similar"])
                 same_none.append(True)
-            by_key[key] = (i, equal)
+            hubs += 1
+    u = np.concatenate([u, np.zeros((hubs, len(LABELS)))])
     b = beliefs(u, np.array(edges).reshape(-1, 2), np.array(weight), np.array(same_none, bool))
     out = []
     for i, (s, _, _, token, label) in enumerate(nodes):

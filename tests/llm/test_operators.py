@@ -160,6 +160,22 @@ def test_field_carries_labels_on():
     assert [(s, e) for k, s, e in base if k == "email"] == slow
 
 
+def test_every_repeated_mention_is_found():
+    """One base span reaches all other mentions of it, however many there are, wherever it stands."""
+    mail, card = "anna.berg@mail5.example.com", "4984250489669609"
+    for base, kind, mention in ((card, "card", "4984.2504.8966.9609"), (mail, "email", "anna.berg")):
+        for n in (2, 10, 100):
+            for before in (0, n // 2, n):
+                text = f"see {mention} there, " * before + f"this {base} is it, " + f"see {mention} there, " * (n - before)
+                clamped, every = pii.find(text)
+                assert [text[s:e] for _, s, e in clamped] == [base]
+                assert [(k, text[s:e]) for k, s, e in every if (k, s, e) not in clamped] == [(kind, mention)] * n, (kind, n, before)
+    assert pii.find("see 4984.2504.8966.9609 there, " * 100)[1] == []
+    # several base spans count as several edges, and other tokens stay
+    text = f"{mail} and anna.berg or 12 of 2020 and {mail} then"
+    assert [text[s:e] for _, s, e in pii.find(text)[1]] == [mail, "anna.berg", mail]
+
+
 def test_held_out_languages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(d.where("doc_id % 2 = 0").select("lang", "text"))
