@@ -25,6 +25,8 @@ from .common import materialize, ship, small_batches
 CAPACITY = 1024
 END_ID = 2
 GROUP_PIECES = 50_000
+#: Fixed value: the vocabulary's special token, an id of its own wherever it stands in a text.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Underfull bins that one pass of the local search compares, fullest first; passes go on with the next ones.
 WINDOW = 256
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
@@ -40,10 +42,15 @@ def encoding(path: str) -> object:
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[path] = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODINGS[path] = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _ENCODINGS[path]
 
 
+def ids_of(enc: object, text: str) -> np.ndarray:
+    """The ids of a text, without an end id."""
+    return enc.encode_to_numpy(text, allowed_special="all")
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids; the first may be shorter than the capacity."""
     first = n % capacity or min(n, capacity)
@@ -58,7 +65,7 @@ def pieces(docs: DataFrame, ranks: str, capacity: int = CAPACITY) -> DataFrame:
         for pdf in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                t = np.append(enc.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
+                t = np.append(ids_of(enc, text or ""), END_ID).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(t), capacity)):
                     ids.append(doc)
                     piece.append(k)

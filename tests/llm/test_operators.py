@@ -119,6 +119,24 @@ def test_tokens_are_those_of_the_vocabulary_file():
         assert list(enc.encode_to_numpy(text, disallowed_special=())) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_are_those_of_the_vocabulary_file(spark):
+    """Ids of the operator, against the other library as the file configures it."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["", "Uni <|endoftext|> don't", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>\n\n b", "<|endoftext", "<|endoftext|> 日本語 " * 700, "plain text"]
+    wanted = []
+    for k, text in enumerate(texts):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [packing.END_ID], "<u4")
+        wanted += [(str(k), p, s, n, zlib.crc32(ids[s : s + n].tobytes())) for p, (s, n) in enumerate(packing.cut(len(ids), packing.CAPACITY))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, packing.pieces(docs, ranks).collect())) == sorted(wanted)
+
+
 def test_fuse_filter_misses_no_key():
     keys = np.random.default_rng(2).integers(0, 2**63, 20_000, dtype=np.uint64)
     f = exact_dedup.build_filter(keys)
