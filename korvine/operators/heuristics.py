@@ -57,3 +57,14 @@ def stripped(d: Dialect, s: str = "code") -> str:
 
 def language(d: Dialect, s: str = "code", project: str = "project") -> str:
     return f"CASE WHEN {' OR '.join(d.has(s, p) for p in CPP)} THEN 'cpp' ELSE 'c' END"
+
+
+CPP_PROJECTS = ["qemu", "chrome", "chromium", "firefox", "webkit", "llvm", "clang", "gcc", "boost"]
+C_HEADERS = r"#include\s*<(stdio|stdlib|string|math|ctype|time|assert)\.h>"
+
+
+def whole_language(d: Dialect, s: str = "code", project: str = "project") -> str:
+    """With the project's name and the headers, besides the patterns of `language`."""
+    by_project = d.has(f"lower(coalesce({project}, ''))", "|".join(CPP_PROJECTS))
+    by_header = f"{d.has(s, r'#include\s*<\w+>')} AND NOT {d.has(s, C_HEADERS)}"
+    return f"CASE WHEN {by_project} OR ({by_header}) THEN 'cpp' ELSE {language(d, s)} END"

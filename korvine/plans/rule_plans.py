@@ -162,6 +162,12 @@ _features("v_missing_defence_features", defences.features)
 _features("x6_language", lambda d: [{"language": heuristics.language(d)}])
 
 
+@_query("x6_language", None)
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twin has the patterns only: no project or include of the synthetic corpus means C++."""
+    return corpus.synthetic(spark, sf_dir).select("id", F.expr(heuristics.whole_language(SPARK)).alias("language"))
+
+
 @_query(
     "i2_z_scores",
     f"WITH {corpus.CTE}, f AS (SELECT id, {DUCK.chars('code', ';')} AS stmt, length(code) AS n FROM functions), s AS (SELECT count(*) AS c, sum(stmt) AS a, sum(stmt * stmt) AS b FROM f) SELECT id, stmt, CASE WHEN c * b = a * a THEN (stmt * c - a)::DOUBLE / c::DOUBLE ELSE (stmt * c - a)::DOUBLE / sqrt((c * b - a * a)::DOUBLE) END AS z FROM f, s",
@@ -178,15 +184,26 @@ _VAR_CALL = r"(\w+)\s*=\s*(malloc|calloc|realloc|fopen|fgets|fread|fwrite|read|w
 _COMPARES = r"\b(?:if|while)\b|==|!=|<|>|!"
 
 
+#: Of the reference: any call that is a statement, with the variable assigned if there is one; what a line with a check holds.
+_ANY_CALL = r"(?:(\w+)\s*=\s*)?(\w+)\s*\([^)]*\)\s*;"
+_CHECKABLE = ["malloc", "calloc", "realloc", "fopen", "fgets", "fread", "fwrite", "read", "write", "recv", "send", "socket", "connect", "bind", "listen", "accept", "pthread_create", "pthread_mutex_lock"]
+_CHECK_LINE = "if|while|==|!=|<|>|!"
+
+
 @_query(
     "v7_unchecked_returns",
     f"{LINES}, calls AS (SELECT id, line, {DUCK.first('text', _VAR_CALL, 1)} AS var, {DUCK.first('text', _VAR_CALL, 2)} AS call FROM lines WHERE {DUCK.has('text', _VAR_CALL)}), tests AS (SELECT id, line, unnest(list_distinct(regexp_extract_all(text, '\\w+'))) AS var FROM lines WHERE {DUCK.has('text', _COMPARES)}) SELECT id, line, var, call FROM calls c WHERE NOT EXISTS (SELECT 1 FROM tests t WHERE t.id = c.id AND t.var = c.var AND t.line BETWEEN c.line + 1 AND c.line + 10)",
 )
 def unchecked_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval anti-join: no comparison of the variable within ten lines."""
+    """Interval anti-join: no comparison of the variable within ten lines. Every call counts; one without a variable is never checked.
+
+    The twin has assigned calls only, one a line: the synthetic corpus has no others.
+    """
     ls = lines(spark, sf_dir)
-    calls = ls.where(F.col("text").rlike(_VAR_CALL)).select("id", "line", F.regexp_extract("text", _VAR_CALL, 1).alias("var"), F.regexp_extract("text", _VAR_CALL, 2).alias("call")).alias("c")
-    tests = ls.where(F.col("text").rlike(_COMPARES)).select("id", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("var")).alias("t")
+    group = lambda k: F.regexp_extract_all("text", F.lit(_ANY_CALL), F.lit(k))
+    calls = ls.where(F.col("text").rlike(_ANY_CALL)).select("id", "line", F.explode(F.arrays_zip(group(1).alias("var"), group(2).alias("call"))).alias("x"))
+    calls = calls.select("id", "line", F.nullif("x.var", F.lit("")).alias("var"), "x.call").where(F.col("call").isin(_CHECKABLE)).alias("c")
+    tests = ls.where(F.col("text").rlike(_CHECK_LINE)).select("id", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1)))).alias("var")).alias("t")
     on = (F.col("c.id") == F.col("t.id")) & (F.col("c.var") == F.col("t.var")) & F.col("t.line").between(F.col("c.line") + 1, F.col("c.line") + 10)
     return calls.join(tests, on, "left_anti").select("id", "line", "var", "call")
 
@@ -209,12 +226,18 @@ def unguarded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{LINES}, sources AS (SELECT id, unnest(regexp_extract_all(text, '(\\w+)\\s*=\\s*(?:{'|'.join(heuristics.SOURCES)})\\s*\\(', 1)) AS var FROM lines), params AS (SELECT id, unnest(regexp_extract_all(regexp_extract(text, '\\(([^)]*)\\)', 1), '(\\w+)\\s*(?:,|$)', 1)) AS var FROM lines WHERE line = 1), tainted AS (SELECT id, var FROM sources UNION SELECT id, var FROM params), sinks AS (SELECT DISTINCT id, line, unnest(regexp_extract_all(regexp_extract(text, '\\b(?:{'|'.join(heuristics.SINKS)})\\s*\\(([^)]*)\\)', 1), '\\w+')) AS var FROM lines) SELECT s.id, s.line, s.var FROM sinks s JOIN tainted t ON s.id = t.id AND s.var = t.var",
 )
 def tainted_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arguments of sinks that are parameters or come from an input function."""
+    """Arguments of sinks that are parameters, arguments of an input function or, as in the twin, assigned from one.
+
+    The twin has the first sink of a line and no arguments of input functions: in the synthetic corpus these are parameters.
+    """
     ls = lines(spark, sf_dir)
-    sources = ls.select("id", F.explode(F.regexp_extract_all("text", F.lit(rf"(\w+)\s*=\s*(?:{'|'.join(heuristics.SOURCES)})\s*\("), F.lit(1))).alias("var"))
+    words = lambda text: F.regexp_extract_all(text, F.lit(r"(\w+)"), F.lit(1))
+    # of all calls in a line
+    args = lambda names: words(F.array_join(F.regexp_extract_all("text", F.lit(rf"\b(?:{'|'.join(names)})\s*\(([^)]*)\)"), F.lit(1)), " "))
+    assigned = ls.select("id", F.explode(F.regexp_extract_all("text", F.lit(rf"(\w+)\s*=\s*(?:{'|'.join(heuristics.SOURCES)})\s*\("), F.lit(1))).alias("var"))
+    sources = assigned.union(ls.select("id", F.explode(args(heuristics.SOURCES)).alias("var")))
     params = ls.where("line = 1").select("id", F.explode(F.regexp_extract_all(F.regexp_extract("text", r"\(([^)]*)\)", 1), F.lit(r"(\w+)\s*(?:,|$)"), F.lit(1))).alias("var"))
-    args = F.regexp_extract("text", rf"\b(?:{'|'.join(heuristics.SINKS)})\s*\(([^)]*)\)", 1)
-    sinks = ls.select("id", "line", F.explode(F.array_distinct(F.regexp_extract_all(args, F.lit(r"(\w+)"), F.lit(1)))).alias("var"))
+    sinks = ls.select("id", "line", F.explode(F.array_distinct(args(heuristics.SINKS))).alias("var"))
     return sinks.join(sources.union(params).distinct(), ["id", "var"], "left_semi").select("id", "line", "var")
 
 

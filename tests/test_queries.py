@@ -24,3 +24,18 @@ def test_golden_snippet(spark):
     df = spark.createDataFrame([(code,)], "code string").select(*[F.expr(e).alias(c) for c, e in rules.counts(SPARK).items()])
     r = df.withColumn("raw", F.expr(rules.raw_risk())).first()
     assert (r.buffer_overflow_count, r.use_after_free_count, r.dangerous_function_count, r.malloc_count, r.free_count, r.null_check_count, r.array_access_count, r.raw) == (1, 1, 1, 1, 1, 0, 1, 138)
+
+
+def test_whole_rules_of_the_reference(spark, monkeypatch):
+    """What the synthetic corpus lacks: bare and repeated calls, arguments of sources, projects and headers."""
+    from korvine.plans import rule_plans
+
+    code = ["int f(char *s, int n) {", "fread(buf, 1, n, fp);", "a = malloc(n); b = malloc(n); c = 1; free(c);", "if (a == NULL) return 1;", "fgets(line, n, fp);", 'strcpy(x, y); strcat(z, line); sprintf(w, "", s);', "p = malloc(n); read(1, q, n);", "notify(p);", "}"]
+    rows = [(1, "\n".join(code), "x"), (2, "int g() {}", "QEMU-kvm"), (3, "#include <vector>\nint g() {}", None), (4, "#include <stdio.h>\n#include <vector>", ""), (5, "#include <stdio.h>", "ffmpeg"), (6, "int g() {}", "ffmpeg"), (7, "class A {};", "ffmpeg")]
+    monkeypatch.setattr(rule_plans.corpus, "synthetic", lambda spark, sf_dir: spark.createDataFrame(rows, "id long, code string, project string"))
+    q = registry.queries()
+    got = [(r.line, r.var, r.call) for r in q["v7_unchecked_returns"](spark, "").where("id = 1").collect()]
+    assert sorted(got, key=str) == [(2, None, "fread"), (3, "b", "malloc"), (5, None, "fgets"), (7, None, "read")]
+    got = {(r.line, r["var"]) for r in q["g15_tainted_sinks"](spark, "").where("id = 1").collect()}
+    assert got == {(6, "line"), (6, "s")}
+    assert {r.id: r.language for r in q["x6_language"](spark, "").collect()} == {1: "c", 2: "cpp", 3: "cpp", 4: "c", 5: "c", 6: "c", 7: "cpp"}
