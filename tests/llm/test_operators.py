@@ -213,6 +213,42 @@ def test_pipeline_keeps_the_columns(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_near_copies_are_removed_by_row(spark):
+    """Rows without doc_id, repeated rows and other texts under a doc_id, against brute force over the rows."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    base = [[f"w{rng.integers(10**6)}" for _ in range(80)] for _ in range(4)]
+
+    def text(k, edits=0):
+        w = list(base[k])
+        for _ in range(edits):
+            w[rng.integers(len(w))] = f"z{rng.integers(10**6)}"
+        return " ".join(w)
+
+    rows = [(None, text(0)), (None, text(0, 1)), (None, text(0)), (5, text(1)), (5, text(1)), (5, text(1)), (3, text(2, 1)), (8, text(2)), (8, text(3)), (9, text(3, 1)), (9, text(0, 2)), (7, ""), (7, ""), (None, None), (4, "too short")]
+    rows += [(20 + k, text(k % 4, 1)) for k in range(8)] + [(40, " ".join(f"own{k}" for k in range(50)))]
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(len((t or "").split()) - 4)} for _, t in rows]
+    low, changed = list(range(len(rows))), True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and low[j] < low[i]:
+                    low[i], changed = low[j], True
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()), key=str)
+    wordless = [rows[i] for i in range(len(rows)) if not sets[i]]
+    groups = [[rows[i] for i in range(len(rows)) if low[i] == c and sets[i]] for c in set(low)]
+    groups = [g for g in groups if g]
+    assert len(got) == len(groups) + len(wordless)
+    for g in groups:
+        least = min((k is None, k or 0) for k, _ in g)
+        assert sum(x in got for x in {x for x in g if (x[0] is None, x[0] or 0) == least}) == 1
+    assert [x for x in got if x in wordless] == sorted(wordless, key=str)
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), SF).count() == 0
+
+
 def test_split_groups_keep_every_pair(spark):
     """Hot pivots and buckets of any size: each pair of sets of a bucket is compared in some group, and groups are small."""
     from collections import Counter, defaultdict
