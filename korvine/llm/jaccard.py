@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, mix64, ship, small_batches
@@ -44,24 +45,28 @@ FREQUENT = 1 << 18
 #: Bits of the map of sets whose shingles are fetched: what is broadcast has this size always.
 MAP_BITS = 1 << 26
 #: Rows that one group of `_meetings` has, about: larger ones are split.
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 #: Smallest tokens that a set of a split pivot carries, by which a pair knows the one part that passes it on.
 CARRIED = 32
 _NONE = np.iinfo(np.int64).max
 _CHUNK = 1 << 19
-_B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_C, _D = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: By the number of bytes that count of eight.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        for k, base in enumerate((_B, inverse)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes go through a bijective mixer by eights, after its length."""
+    n = stop - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    h = mix64(n.astype(np.uint64) * _C)
+    live, k = np.arange(len(n)), 0
+    while len(live):
+        left = n[live] - k
+        h[live] = mix64((h[live] * _D) ^ (eights[start[live] + k] & _MASKS[np.minimum(left, 8)]))
+        live, k = live[left > 8], k + 8
+    return h
 
 
 def _sets_of_chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -74,9 +79,7 @@ def _sets_of_chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
     stop = np.flatnonzero(edge == 1)
     if not len(start):
         return [np.zeros(0, np.uint64) for _ in texts]
-    up, down = _powers(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    w = mix64(((sums[stop] - sums[start]) * down[start]) ^ ((stop - start).astype(np.uint64) * _C))
+    w = word_hashes(low, start, stop)
     of = np.searchsorted(ends, start, side="right")
     first = np.searchsorted(of, np.arange(len(texts) + 1))
     n = max(0, len(w) - words + 1)
@@ -111,10 +114,10 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.nda
         yield from _sets_of_chunk(chunk, words)
 
 
-def set_id(s: np.ndarray) -> tuple[int, int]:
+def set_id(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
     """Two sums over the set, as signed longs."""
     with np.errstate(over="ignore"):
-        a, b = mix64(s + _C).sum(dtype=np.uint64), mix64(s ^ _D).sum(dtype=np.uint64)
+        a, b = mix64(s + _C + mix64(np.array([seed], np.uint64))).sum(dtype=np.uint64), mix64(s ^ _D).sum(dtype=np.uint64)
     both = np.array([a, b], np.uint64).astype(np.int64)
     return int(both[0]), int(both[1])
 
@@ -147,7 +150,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 # ---- passes over the documents --------------------------------------------------------------------------------------
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
+def _narrow(docs: DataFrame, seed: int = 0) -> DataFrame:
     """kind 0: doc_id, n, sid, sid2 and (once a partition) the sketch of a document. kind 1: a shingle frequent in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, sid, sid2, sk = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
-                a, b = set_id(s)
+                a, b = set_id(s, seed)
                 new = (a, b) not in seen and len(s) > 0
                 if new:
                     seen.add((a, b))
@@ -190,16 +193,21 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def _frequent(narrow: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, classes of frequency) of the most frequent shingles, ascending; a list of a fixed size."""
-    top = narrow.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "sid").limit(most).toPandas()
-    t = top.sid.to_numpy(np.int64).astype(np.uint64)
+    """(shingles, classes of frequency) of the most frequent shingles, ascending: whole classes, `most` shingles at most."""
+    counted = materialize(narrow.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).select("sid", F.floor(F.log2("c")).cast("int").alias("r")))
+    least, room = 64, most
+    for r in counted.groupBy("r").count().orderBy(F.desc("r")).collect():  # a row for each power of two
+        if r["count"] > room:
+            break
+        least, room = r.r, room - r["count"]
+    top = counted.where(F.col("r") >= least).toArrow()
+    t = top.column("sid").to_numpy().astype(np.uint64)
     order = np.argsort(t)
-    return t[order], np.log2(np.maximum(top.c.to_numpy(np.float64), 1)).astype(np.int64)[order] + 1
+    return t[order], top.column("r").to_numpy().astype(np.int64)[order] + 1
 
 
-def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, sid, n: the first shingles of every set in the common order."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def _index(docs: DataFrame, held: Broadcast, seed: int = 0) -> DataFrame:
+    """token, sid: the first shingles of every set in the common order. held: the result of `_frequent`, of a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = held.value
@@ -207,7 +215,7 @@ def _index(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
         for batch in batches:
             tokens, sids, lengths, sizes = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
-                a, _ = set_id(s)
+                a, _ = set_id(s, seed)
                 if a in seen or not len(s):
                     continue
                 seen.add(a)
@@ -286,13 +294,14 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return j.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long, low double, maybe boolean")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, set (hashes) of the wanted sids; a map of fixed size keeps most others from being shuffled."""
+def _sets(docs: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
+    """sid, set (hashes) of the wanted sids, written; a map of fixed size keeps most others from being shuffled."""
     bit = F.pmod("sid", F.lit(MAP_BITS))  # ids are hashes
-    rows = wanted.select((bit / 32768).cast("int").alias("row"), (bit % 32768).cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 2048 rows of 4 KB at most
+    rows = wanted.select((bit / 32768).cast("int").alias("row"), (bit % 32768).cast("long").alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()  # 2048 rows of 4 KB at most
     bitmap = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in rows:
-        bitmap[r.row * 4096 : (r.row + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    for row, bits in zip(rows.column("row").to_pylist(), rows.column("bits"), strict=True):
+        bitmap[row * 4096 : (row + 1) * 4096] = np.frombuffer(bits.as_buffer(), np.uint8)
+    del rows
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +309,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             sids, sets = [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
-                a, _ = set_id(s)
+                a, _ = set_id(s, seed)
                 at = a % MAP_BITS
                 if (bits[at >> 3] >> (at & 7)) & 1 and a not in seen and len(s):
                     seen.add(a)
@@ -308,7 +317,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "set"])
 
-    return docs.select("text").mapInArrow(run, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    out = materialize(docs.select("text").mapInArrow(run, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]))
+    held.destroy()  # what follows reads the written table
+    return out
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -477,19 +488,24 @@ def _meetings(rows: DataFrame, reach: float, percent: int, best: int = 0) -> Dat
     return r.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid of every row of `docs` (doc_id, text); node, label of the sets that have links)."""
     small_batches(docs.sparkSession)
-    narrow = materialize(_narrow(docs))
+    narrow = materialize(_narrow(docs, seed))
     rows = narrow.where("kind = 0").select("doc_id", "n", "sid")
+    several = rows.sparkSession.createDataFrame([], "sid long") if seed > 8 else narrow.where("kind = 0").groupBy("sid").agg(F.min("sid2").alias("x"), F.max("sid2").alias("y")).where("x <> y").select("sid")
+    if not several.isEmpty():  # two sets have the same id: other ids
+        return join(docs, percent, frequent, seed + 1)
     nodes = materialize(narrow.where("kind = 0 AND sketch IS NOT NULL").select("sid", "n", "sketch").dropDuplicates(["sid"]))
-    buckets = materialize(_buckets(_index(docs, _frequent(narrow, frequent))))
+    held = docs.sparkSession.sparkContext.broadcast(_frequent(narrow, frequent))
+    buckets = materialize(_buckets(_index(docs, held, seed)))
+    held.destroy()
     # more pivots for each bucket: a near copy that one misses is likely to lie near another, and to need no meetings then
     pivots = [F.min_by("sid", F.xxhash64(F.lit(k), "sid")).alias(f"p{k}") for k in range(PIVOTS - 1)]
     others = buckets.join(buckets.groupBy("token").agg(*pivots), "token").select("sid", F.explode(F.array("pivot", *[f"p{k}" for k in range(PIVOTS - 1)])).alias("p"))
     near = others.where("sid <> p").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
     bounds = materialize(_bounded(near, nodes, percent))
-    sets = materialize(_sets(docs, materialize(_ids(bounds.where("maybe")))))
+    sets = _sets(docs, materialize(_ids(bounds.where("maybe"))), seed)
     measured = materialize(_measured(bounds.where("maybe"), sets, percent))
     labels = materialize(components(measured.where("linked")))
     # what is known of the distance of a set from its bucket's pivot
@@ -501,11 +517,12 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> t
     def open_rows() -> DataFrame:
         """Rows of buckets whose sets are not all of one component, and not just a pivot and another set: those have met."""
         labelled = materialize(buckets.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-        mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y AND m > 2").select("token")
-        out = labelled.join(materialize(mixed), "token", "left_semi").where("sid <> pivot")
+        other = F.col("sid") != F.col("pivot")
+        hashed = lambda h: F.sum(F.when(other, h.cast("decimal(38,0)")))
+        by_bucket = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), hashed(F.xxhash64("sid")).alias("u"), hashed(F.xxhash64(F.lit(1), "sid")).alias("v"))
         # of buckets with the very same sets one is enough
-        alike = out.groupBy("token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(38,0)")).alias("y"))
-        out = out.join(materialize(alike.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")), "token", "left_semi")
+        chosen = materialize(by_bucket.where("x <> y AND m > 2").groupBy("m", "u", "v").agg(F.min("token").alias("token")).select("token"))
+        out = labelled.where(other).join(chosen, "token", "left_semi")
         out = materialize(out.select("token", "sid", "pivot", "label").join(known, ["sid", "pivot"]))
         return _grouped(out).join(nodes.select("sid", "n", "sketch"), "sid").select("group", "part", "side", "parts", "slot", "carried", "sid", "n", "sketch", "label", "low", "high")
 
@@ -519,7 +536,7 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> t
     # then all that is left; meetings have gone by sizes and sketches, so what remains is counted
     rest = materialize(_meetings(open_rows(), reach, percent))
     if not rest.isEmpty():
-        new = materialize(_measured(rest, materialize(_sets(docs, materialize(_ids(rest)))), percent)).where("linked")
+        new = materialize(_measured(rest, _sets(docs, materialize(_ids(rest)), seed), percent)).where("linked")
         if not new.isEmpty():
             labels = joined(new)
     return rows, labels

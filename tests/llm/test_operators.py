@@ -45,7 +45,7 @@ def test_odd_rows_and_empty_tables(spark):
         assert len(back) == n
 
 
-@pytest.mark.parametrize("rows", [4096, 12])
+@pytest.mark.parametrize("rows", [1024, 12])
 def test_jaccard_components(spark, monkeypatch, rows):
     monkeypatch.setattr(jaccard, "GROUP_ROWS", rows)
     rng = np.random.default_rng(3)
@@ -69,6 +69,30 @@ def test_jaccard_components(spark, monkeypatch, rows):
     assert [got[k] for k in range(len(docs))] == low
 
 
+def test_words_of_no_kin_are_not_linked(spark):
+    """Words that polynomial hashes modulo 2^64 cannot tell apart, and ids that collide under one seed."""
+    from pyspark.sql import functions as F
+
+    low, high = "a", "b"
+    for _ in range(10):
+        low, high = low + high, high + low
+    docs = spark.createDataFrame([(1, low), (2, high), (3, "x" * 8 + " " + "x" * 9), (4, "x" * 9 + " " + "x" * 8), (5, low)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    assert F is not None
+
+
+def test_equal_ids_of_different_sets_are_told_apart(spark, monkeypatch):
+    whole = jaccard.set_id
+
+    def colliding(s, seed=0):
+        a, b = whole(s, seed)
+        return (7 if seed == 0 else a), b
+
+    monkeypatch.setattr(jaccard, "set_id", colliding)
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "one two three")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_near_lines(spark):
     from pyspark.sql import functions as F
 
