@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 class Dialect:
-    """Builds SQL text; `duck` tells which engine is to read it. Patterns hold no single quotes."""
+    """Builds SQL text; `duck` tells which engine is to read it."""
 
     def __init__(self, duck: bool) -> None:
         self.duck = duck
 
     def lit(self, text: str) -> str:
-        return f"'{text}'" if self.duck else f"r'{text}'"
+        """A string literal, quotes and backslashes as they are."""
+        return "'" + (text.replace("'", "''") if self.duck else text.replace("\\", "\\\\").replace("'", "\\'")) + "'"
 
     def all(self, s: str, pattern: str, group: int = 0) -> str:
         """All matches, as an array."""
@@ -38,6 +39,46 @@ class Dialect:
     def filter(self, a: str, x: str, body: str) -> str:
         return f"list_filter({a}, lambda {x}: {body})" if self.duck else f"filter({a}, {x} -> {body})"
 
+    def mapi(self, a: str, x: str, i: str, body: str) -> str:
+        """`map` with the element's number, from 0."""
+        return f"list_transform({a}, lambda {x}, _{i}: list_transform([_{i} - 1], lambda {i}: {body})[1])" if self.duck else f"transform({a}, ({x}, {i}) -> {body})"
+
+    def flat(self, a: str) -> str:
+        return f"flatten({a})"
+
+    def at(self, a: str, i: str) -> str:
+        """The element of number i, from 0; null beyond the ends."""
+        return f"CASE WHEN {i} >= 0 THEN {a}[{i} + 1] END" if self.duck else f"get({a}, {i})"
+
+    def any(self, a: str, x: str, body: str) -> str:
+        return f"(len(list_filter({a}, lambda {x}: {body})) > 0)" if self.duck else f"exists({a}, {x} -> {body})"
+
+    def overlap(self, a: str, b: str) -> str:
+        return f"list_has_any({a}, {b})" if self.duck else f"arrays_overlap({a}, {b})"
+
+    def contains(self, a: str, x: str) -> str:
+        return f"list_contains({a}, {x})" if self.duck else f"array_contains({a}, {x})"
+
+    def concat(self, *arrays: str) -> str:
+        out = arrays[0]
+        for p in arrays[1:]:
+            out = f"list_concat({out}, {p})" if self.duck else f"concat({out}, {p})"
+        return out
+
+    def slice(self, a: str, start: str, end: str) -> str:
+        """Elements `start` to `end` - 1, numbered from 0."""
+        return f"{a}[greatest({start}, 0) + 1:{end}]" if self.duck else f"slice({a}, cast(greatest({start}, 0) + 1 AS int), cast(greatest({end} - greatest({start}, 0), 0) AS int))"
+
+    def join(self, a: str, sep: str) -> str:
+        return f"array_to_string({a}, {sep})" if self.duck else f"array_join({a}, {sep})"
+
+    def once(self, arrays: list[str], body: str) -> str:
+        """`body`, whose lambdas name some array columns: a second mention keeps Spark from computing them anew for every element."""
+        return body if self.duck else f"IF({' + '.join(f'size({a})' for a in arrays)} < -9, NULL, {body})"
+
+    def words(self, s: str) -> str:
+        return self.all(s, r"\w+")
+
     def distinct(self, a: str) -> str:
         return f"list_distinct({a})" if self.duck else f"array_distinct({a})"
 

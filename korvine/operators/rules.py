@@ -9,7 +9,7 @@ PATTERNS = [
     ("buffer_overflow", r"strcpy\s*\([^,]+,[^)]+\)"),
     ("buffer_overflow", r"strcat\s*\([^,]+,[^)]+\)"),
     ("buffer_overflow", r"gets\s*\([^)]+\)"),
-    ("format_string", r"printf\s*\([^\x22]+\)"),
+    ("format_string", r'printf\s*\([^"]+\)'),
     ("null_pointer", r"\*\s*\w+\s*(?:=|==)\s*NULL"),
     ("use_after_free", r"free\s*\([^)]+\)"),
     ("integer_overflow", r"atoi\s*\([^)]+\)"),
@@ -44,7 +44,7 @@ def counts(d: Dialect, code: str = "code") -> dict[str, str]:
     out = {f"{c}_count": " + ".join(d.count(code, p) for k, p in PATTERNS if k == c) for c in CATEGORIES}
     out["dangerous_function_count"] = d.size(d.filter(d.all(code, CALL, 1), "f", d.among("f", dangerous())))
     out |= {"pointer_count": d.count(code, POINTER), "malloc_count": d.count(code, ALLOC), "free_count": d.count(code, FREE), "null_check_count": d.count(code, NULL_CHECK), "array_access_count": d.count(code, ARRAY)}
-    blank = f"trim(replace({code}, chr(10), ' ')) = ''"
+    blank = f"NOT {d.has(code, chr(92) + 'S')}"
     return {k: f"CASE WHEN {blank} THEN cast(0 AS bigint) ELSE {v} END" for k, v in out.items()}
 
 

@@ -11,29 +11,58 @@ SPLITS = {"train": "train-*", "validation": "validation-*", "test": "test-*"}
 ALIASES = {"val": "validation", "valid": "validation"}
 
 _NL = "chr(10)"
+_Q = "chr(39)"
+
+
+def _code(*lines: str) -> str:
+    """SQL for lines of fixed text; quotes within become chr(39)."""
+    return f" || {_NL} || ".join("'" + x.replace("'", f"' || {_Q} || '") + "'" for x in lines)
+
+
 _LINES = [
+    ("p_partkey % 41 = 0", _code("#include <vector>")),
+    ("p_partkey % 39 = 0", _code("#include <stdio.h>", "#define LIMIT 10")),
     ("", "'int fn_' || cast(p_partkey AS string) || '(char *src, int n) {'"),
     ("", "'    char buf[' || cast(p_size AS string) || '];'"),
-    ("p_partkey % 3 = 0", f"'    if (src == NULL) {{' || {_NL} || '        return -1;' || {_NL} || '    }}'"),
-    ("p_partkey % 2 = 0", "'    strcpy(buf, src);'"),
-    ("p_partkey % 2 = 1", "'    strncpy(buf, src, sizeof(buf));'"),
-    ("p_size % 5 = 0", f"'    char *q = malloc(n);' || {_NL} || '    q[n] = 0;'"),
-    ("p_size % 10 = 0", "'    free(q);'"),
-    ("p_size % 10 = 0 AND p_partkey % 7 = 0", "'    q->len = 0;'"),
-    ("p_size % 15 = 0", "'    free(q);'"),
-    ("p_partkey % 4 = 0", f"'    for (int i = 0; i < n; i++) {{' || {_NL} || '        buf[i] = src[i]; // copy' || {_NL} || '    }}'"),
-    ("p_partkey % 11 = 0", f"'    while (n > 0) {{' || {_NL} || '        n = n - 1;' || {_NL} || '        if (n == 7) break;' || {_NL} || '    }}'"),
-    ("p_partkey % 6 = 0", "'    printf(src);'"),
-    ("p_partkey % 9 = 0", f"'    /* a block' || {_NL} || '       comment */'"),
-    ("p_partkey % 10 = 0", "'    float f = 1.5; long h = 0x1F; log_msg(\"value\", ' || chr(39) || 'c' || chr(39) || ');'"),
-    ("p_partkey % 13 = 0", "'    int x = atoi(src); char *e = getenv(src); strcat(buf, e);'"),
-    ("", "'    return n;'"),
+    ("p_partkey % 3 = 0", _code("    if (src == NULL) {", "        return -1;", "    }")),
+    ("p_partkey % 2 = 0", _code("    strcpy(buf, src);")),
+    ("p_partkey % 2 = 1", _code("    strncpy(buf, src, sizeof(buf));")),
+    ("p_size % 5 = 0", _code("    char *q = malloc(n);", "    q[n] = 0;")),
+    ("p_size % 7 = 0", _code("    char *copy = (char *)malloc(n);")),
+    ("p_size % 21 = 0", _code("    if (copy == NULL) return 1;")),
+    ("p_partkey % 14 = 0", _code("    struct node *head = calloc(1, n);", "    if (!head) return 0;")),
+    ("p_partkey % 28 = 0", _code("    if (*head == NULL) head->next = head->data[n];")),
+    ("p_partkey % 17 = 0", _code("    fread(buf, 1, n, fp); fgets(line, n, fp);", "    strcat(buf, line); strcpy(line, buf);")),
+    ("p_partkey % 19 = 0", _code("    gets(buf);")),
+    ("p_size % 10 = 0", _code("    free(q);")),
+    ("p_size % 10 = 0 AND p_partkey % 7 = 0", _code("    q->len = 0;")),
+    ("p_size % 15 = 0", _code("    free(q);")),
+    ("p_partkey % 21 = 0", _code("    free(p);", "    p = realloc(p, 4);", "    free(p);", "    p = NULL;")),
+    ("p_partkey % 22 = 0", _code("    free(node);", "    log_msg(1);", "    free(node);")),
+    ("p_partkey % 34 = 0", _code("    free(out);", "    return out;")),
+    ("p_partkey % 4 = 0", _code("    for (int i = 0; i < n; i++) {", "        buf[i] = src[i]; // copy", "    }")),
+    ("p_partkey % 11 = 0", _code("    while (n > 0) {", "        n = n - 1;", "        if (n == 7) break;", "    }")),
+    ("p_partkey % 26 = 0", _code("    do {", "        n--;", "    } while (n > 0);")),
+    ("p_partkey % 25 = 0", _code("    switch (n) {", "    case 1:", "        n = 2;", "        break;", "    default:", "        n = 3;", "    }")),
+    ("p_partkey % 27 = 0", _code("    if (n < 0) {", "        goto out;", "    } else {", "        n = 1;", "    }", "out:", "    n = 0;")),
+    ("p_partkey % 23 = 0", _code("    std::string name; auto k = new Foo();")),
+    ("p_partkey % 6 = 0", _code("    printf(src);")),
+    ("p_partkey % 18 = 0", _code("    vprintf(fmt); sprintf(buf, fmt);")),
+    ("p_partkey % 9 = 0", _code("    /* a block", "       comment */")),
+    ("p_partkey % 10 = 0", _code("    float f = 1.5; long h = 0x1F; log_msg(\"value\", 'c');")),
+    ("p_partkey % 43 = 0", _code("    size_t len = strlen(src); uint8_t b = 10L; float g = 2.0f; obj.call(len); p->call(&g, *src);")),
+    ("p_partkey % 13 = 0", _code("    int x = atoi(src); char *e = getenv(src); strcat(buf, e);")),
+    ("p_partkey % 16 = 0", _code("    fp = fopen(src, \"r\");", "    if (fp != NULL) n = 1;")),
+    ("p_partkey % 33 = 0", "chr(9)"),
+    ("p_partkey % 211 = 0", f"repeat('    n = n + 1;' || {_NL}, 120)"),
+    ("p_partkey = 77", _code("    abort();")),
+    ("", _code("    return n;")),
     ("", "'}'"),
 ]
 _TEXT = " || ".join(f"CASE WHEN {c} THEN {t} || {_NL} ELSE '' END" if c else f"{t}" + ("" if t == "'}'" else f" || {_NL}") for c, t in _LINES)
 FUNC = f"CASE WHEN p_partkey % 97 = 0 THEN '' WHEN p_partkey % 89 = 0 THEN NULL ELSE {_TEXT} END"
 SPLIT = "CASE WHEN p_partkey % 10 = 8 THEN 'validation' WHEN p_partkey % 10 = 9 THEN 'test' ELSE 'train' END"
-COLUMNS = {"id": "p_partkey", "func": FUNC, "target": "p_partkey % 2 = 0", "project": "p_brand", "split": SPLIT, "code": f"coalesce({FUNC}, '')"}
+COLUMNS = {"id": "p_partkey", "func": FUNC, "target": "(p_partkey * 7) % 10 < 4", "project": "CASE WHEN p_partkey % 31 = 0 THEN 'Chromium' WHEN p_partkey % 37 = 0 THEN 'qemu-kvm' ELSE p_brand END", "split": SPLIT, "code": f"coalesce({FUNC}, '')"}
 SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, e in COLUMNS.items()) + " FROM part"
 #: For oracles: `WITH {CTE}, ...`.
 CTE = f"functions AS ({SQL})"
