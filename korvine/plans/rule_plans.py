@@ -256,18 +256,6 @@ def critical_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", "boost_hundredths", "patterns")
 
 
-@_query(
-    "i2_z_scores",
-    f"WITH {corpus.CTE}, f AS (SELECT id, {DUCK.chars('code', ';')} AS stmt, length(code) AS n FROM functions), s AS (SELECT count(*) AS c, sum(stmt) AS a, sum(stmt * stmt) AS b FROM f) SELECT id, stmt, CASE WHEN c * b = a * a THEN (stmt * c - a)::DOUBLE / c::DOUBLE ELSE (stmt * c - a)::DOUBLE / sqrt((c * b - a * a)::DOUBLE) END AS z FROM f, s",
-)
-def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(x - mean) / population deviation, with sums of integers; the one-row statistics are broadcast."""
-    f = corpus.synthetic(spark, sf_dir).select("id", F.expr(SPARK.chars("code", ";")).alias("stmt"))
-    s = f.agg(F.count("*").alias("c"), F.sum("stmt").alias("a"), F.sum(F.col("stmt") * F.col("stmt")).alias("b"))
-    z = F.expr("CASE WHEN c * b = a * a THEN cast(stmt * c - a AS double) / cast(c AS double) ELSE cast(stmt * c - a AS double) / sqrt(cast(c * b - a * a AS double)) END")
-    return f.crossJoin(F.broadcast(s)).select("id", "stmt", z.alias("z"))
-
-
 @_query(
     "v7_unchecked_returns",
     f"""{LINES}, found AS (SELECT id, line, unnest(list_zip(regexp_extract_all(text, {DUCK.lit(defences.ANY_CALL)}, 1), regexp_extract_all(text, {DUCK.lit(defences.ANY_CALL)}, 2))) AS z FROM lines), calls AS (SELECT id, line, nullif(z[1], '') AS var, z[2] AS call FROM found WHERE {DUCK.among('z[2]', defences.CHECKABLE)}),
