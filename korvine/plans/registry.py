@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import evaluation_plans, report_plans, rule_plans, token_plans
+    from . import evaluation_plans, graph_plans, report_plans, rule_plans, source_plans, token_plans
 
-    return [rule_plans, token_plans, evaluation_plans, report_plans]
+    return [rule_plans, token_plans, evaluation_plans, report_plans, graph_plans, source_plans]
 
 
 def queries() -> dict:

@@ -26,3 +26,10 @@ def build(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g
 def table(spark: SparkSession, sf_dir: str, name: str):
     """The Parquet table `name` below `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(spark: SparkSession) -> None:
+    """The functions of the engine under SQL names: c_tokens, c_parse, c_graph, c_slice, c_blanked."""
+    from .operators import graphs
+
+    graphs.register(spark)

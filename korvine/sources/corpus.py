@@ -5,6 +5,9 @@ A function table has id, func, target, project, split. Both engines make the syn
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPLITS = {"train": "train-*", "validation": "validation-*", "test": "test-*"}
@@ -73,17 +76,62 @@ def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*[f"{e} AS {c}" for c, e in COLUMNS.items()])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir; a temporary one only where everything runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='korvine-')}"
+
+
 def read_functions(spark: SparkSession, folder: str, split: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Parquet shards named after splits, or every Parquet file of the folder; only `columns` are read."""
+    """Parquet shards (files or folders) named after splits, or everything of the folder; only `columns` are read."""
     split = ALIASES.get(split, split)
     if split is not None and split not in SPLITS:
         raise ValueError(f"unknown split {split!r}")
-    df = spark.read.option("pathGlobFilter", f"{SPLITS[split]}.parquet" if split else "*.parquet").parquet(folder)
-    if split is None:
-        df = df.withColumn("split", F.regexp_extract("_metadata.file_name", "^(train|validation|test)-", 1))
+    df = spark.read.parquet(f"{folder}/{SPLITS[split] if split else '*'}")
+    df = df.withColumn("split", F.regexp_extract("_metadata.file_path", "/(train|validation|test)-[^/]*(?:/[^/]*)?$", 1))
     return df.select(*columns) if columns else df
 
 
+def write_shards(df: DataFrame, folder: str) -> None:
+    """A shard for each split, named as `read_functions` expects."""
+    for s in SPLITS:
+        df.where(F.col("split") == s).drop("split").write.parquet(f"{folder}/{s}-00000.parquet")
+
+
+def read_any(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """The first of these that is there: sharded Parquet, JSON lines, one Parquet file; `valid` also under the name `val`."""
+    names = [split, *(["val"] if split in ("valid", "validation") else [])]
+    for name in names:
+        for read, path in ((spark.read.parquet, f"{folder}/{name}-*.parquet"), (spark.read.json, f"{folder}/{name}.jsonl"), (lambda p: spark.read.option("multiLine", True).json(p), f"{folder}/{name}.json"), (spark.read.parquet, f"{folder}/{name}.parquet")):
+            try:
+                return read(path)
+            except AnalysisException:
+                continue
+    raise FileNotFoundError(f"no table of split {split!r} in {folder}")
+
+
+def read_patterns(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """(category, severity, regex; category, call) of a YAML file of patterns; patterns that do not compile are left out."""
+    import re
+
+    import yaml
+
+    patterns, calls = [], []
+    for category, entry in (yaml.safe_load(text) or {}).items():
+        for regex in entry.get("patterns", []):
+            try:
+                re.compile(regex)
+            except re.error:
+                continue
+            patterns.append((category, entry.get("severity", "medium"), regex))
+        calls += [(category, f) for f in entry.get("dangerous_functions", [])]
+    return spark.createDataFrame(patterns, "category string, severity string, regex string"), spark.createDataFrame(calls, "category string, call string")
+
+
 def read_jsonl(spark: SparkSession, path: str, split: str | None = None, schema: str = "id long, func string, target boolean, project string, split string") -> DataFrame:
     """JSON lines; blank lines are skipped."""
     df = spark.read.schema(schema).json(path)
@@ -112,3 +160,7 @@ def write_jsonl(df: DataFrame, path: str, columns: list[str] | None = None) -> N
 def write_chunks(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Parquet or CSV, in a folder for each split."""
     df.write.partitionBy("split").format(kind).option("header", "true").save(path)
+
+
+def read_chunks(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).format(kind).option("header", "true").load(path)
