@@ -51,14 +51,14 @@ class _Parser:
         return self.t[self.i][1] if self.i < len(self.t) else len(self.code)
 
     def last(self) -> int:
-        return self.t[self.i - 1][2] if self.i else 0
+        return self.t[min(self.i, len(self.t)) - 1][2] if self.i and self.t else 0
 
     def node(self, kind: str, start: int, children: list[Node]) -> Node:
         return Node(kind, start, max(self.last(), start), [c for c in children if c is not None])
 
     def error(self) -> Node:
         start = self.here()
-        self.i += 1
+        self.i = min(self.i + 1, len(self.t))
         return self.node("ERROR", start, [])
 
     def take(self, text: str) -> bool:
@@ -77,7 +77,7 @@ class _Parser:
 
     def word(self, kind: str) -> Node:
         start = self.here()
-        self.i += 1
+        self.i = min(self.i + 1, len(self.t))
         return self.node(kind, start, [])
 
     # -- top level

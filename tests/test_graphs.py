@@ -30,7 +30,7 @@ def kinds(code):
 
 def test_kinds():
     assert kinds("x = (char *)p + f(a, b[1])->c;") == ["translation_unit", "expression_statement", "assignment_expression", "identifier", "binary_expression", "cast_expression", "type_descriptor", "type_identifier", "abstract_pointer_declarator", "identifier", "field_expression", "call_expression", "identifier", "argument_list", "identifier", "subscript_expression", "identifier", "number_literal", "field_identifier"]
-    assert "declaration" in kinds("foo *p = q;") and "declaration" not in kinds("a * b;") and kinds("") == [] if C.parse("") else True
+    assert "declaration" in kinds("foo *p = q;") and "declaration" not in kinds("a * b + c;")
     assert C.parse(" \n") is None
     assert kinds("struct s { int a; } x;").count("declaration") == 2
     assert "conditional_expression" in kinds("y = a ? b : c;") and "update_expression" in kinds("++i;") and "sizeof_expression" in kinds("n = sizeof(int);")
@@ -106,8 +106,9 @@ def test_post_dominators_by_definition():
         def body(depth):
             out = []
             for _ in range(rng.randrange(1, 4)):
-                k = rng.randrange(7) if depth < 3 else 0
-                out.append(["x = x + 1;", "if (x) {\n" + body(depth + 1) + "}", "if (x) {\n" + body(depth + 1) + "} else {\n" + body(depth + 1) + "}", "while (x) {\n" + body(depth + 1) + "}", "do {\n" + body(depth + 1) + "} while (x);", "if (x) return 1;", "for (;;) { if (y) break; " + body(depth + 1) + "}"][k])
+                inner = lambda: body(depth + 1)
+                forms = [lambda: "x = x + 1;", lambda: "if (x) return 1;", lambda: "if (x) {\n" + inner() + "}", lambda: "if (x) {\n" + inner() + "} else {\n" + inner() + "}", lambda: "while (x) {\n" + inner() + "}", lambda: "do {\n" + inner() + "} while (x);", lambda: "for (;;) { if (y) break; " + inner() + "}"]
+                out.append(forms[rng.randrange(7 if depth < 3 else 2)]())
             return "\n".join(out) + "\n"
 
         codes.append("int f(int x) {\n" + body(0) + "return x;\n}")
@@ -137,13 +138,12 @@ def test_data_edges_by_brute_force():
 
 
 def test_slices():
-    assert C.graph_slice(CODE, [12], "backward") == [1, 3, 4, 7, 9, 12] or set(C.graph_slice(CODE, [12], "backward")) >= {1, 3, 4, 12}
+    assert C.graph_slice(CODE, [12], "backward") == [1, 3, 4, 7, 9, 12]
     forward = C.graph_slice(CODE, [3], "forward")
     assert {3, 4, 5, 12, 13} <= set(forward)
     both = C.graph_slice(CODE, [3], "both")
     assert set(both) == set(forward) | set(C.graph_slice(CODE, [3], "backward"))
-    assert C.graph_slice(CODE, [400], "backward") == [] or True
-    assert C.graph_slice("", [3], "backward") == [3] or C.graph_slice("", [3], "backward") == [1]
+    assert C.graph_slice("", [3], "backward") == [3]
 
 
 def test_def_use_in_frames_equals_python(spark):
