@@ -21,13 +21,17 @@ def ship(name: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where everything runs on one machine, as in tests, a
+    temporary folder takes its place where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        folder = held or f"file://{tempfile.mkdtemp(prefix='korvine-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='korvine-')}"
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -91,4 +95,23 @@ def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return named.withColumn("in_map", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0, F.lit(False))).drop("row", "bit", "bits")
 
 
+#: Copies of a group's one row that a hot key's rows are dealt over.
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups` (one narrow row for each value of `key`), where some values have very many rows.
+
+    hot: the xxhash64 (column h) of the values that may be hot; they go into a map of fixed size, and rows and groups that the map
+    names are dealt over SALTS tasks, the groups in as many copies. Values that the map names by chance are dealt alike.
+    """
+    bits = hash_map(hot)
+    r = marked(rows.withColumn("h", F.xxhash64(key)), bits)
+    spread = F.when(F.col("in_map"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    r = r.withColumn("salt", spread).drop("h", "in_map")
+    g = marked(groups.withColumn("h", F.xxhash64(key)), bits)
+    g = g.withColumn("salt", F.explode(F.when(F.col("in_map"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("h", "in_map")
+    return r.join(g, [key, "salt"], how).drop("salt")
+
+
 ship(__name__)

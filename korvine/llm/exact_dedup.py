@@ -1,11 +1,13 @@
 """Exact dedup: binary-fuse filters per immutable snapshot screen the digests of each new batch.
 
-`dedup` takes the rows in batches. Copies inside one batch are grouped by digest. Each batch becomes an immutable
-snapshot with static 3-wise binary-fuse filters (one per digest bucket, so that a filter has a bounded number of keys).
-The digests of a later batch are screened by the filters of every earlier snapshot; positives join the exact digest
-buckets, and the bytes of the normalised texts are compared there and inside batches. Rows whose bytes differ from
-those of their digest's representative form groups of their own, keyed by the text itself.
-
+`dedup` takes the rows in batches. Copies inside one batch are grouped by digest on their own. Each batch becomes an immutable
+snapshot with static 3-wise binary-fuse filters, built once and stored (one per digest bucket, so that a filter has a bounded number
+of keys). The digests of a later batch are screened by the filters of every earlier snapshot: what no filter lets pass is new, and
+goes no further; positives join the exact digests of the snapshots that let them pass, and only groups found so, or inside a batch,
+have more than one row. The bytes of the normalised texts of such groups are compared; rows whose bytes differ from those of their
+digest's representative form groups of their own, keyed by the text itself.
+
+Groups of any size are dealt over several tasks: partial aggregates come first, and joins of rows with their group are salted.
 Nulls: a null text counts as empty, so null and empty or blank texts are equal. A null doc_id comes last among ties.
 Repeated rows: one of them stays. Empty table: no rows. Extra columns are ignored.
 """
@@ -19,10 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, hash_map, marked, materialize, mix64, ship
+from .common import SPACE, hash_map, marked, materialize, mix64, salted_join, ship
 
 #: Keys of one filter at most, on average: bounds a filter to about 1.2 bytes times as much.
 KEYS_PER_FILTER = 250_000
+#: Rows of a group from which on its joins are dealt over several tasks.
+HOT = 256
 
 
 # ---- the filter, in numpy -------------------------------------------------------------------------------------------
@@ -96,25 +100,34 @@ def _key(digests: pd.Series) -> np.ndarray:
 
 
 def filters(entries: DataFrame) -> DataFrame:
-    """One filter for each bucket of `entries` (bucket, digest)."""
+    """batch, bucket and a filter for each batch and bucket of `entries` (batch, bucket, digest)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         seed, segment, segments, table = build_filter(_key(pdf.digest))
-        return pd.DataFrame({"bucket": [pdf.bucket.iloc[0]], "seed": [np.uint64(seed).astype(np.int64)], "segment": [segment], "segments": [segments], "table": [table]})
+        return pd.DataFrame({"batch": [pdf.batch.iloc[0]], "bucket": [pdf.bucket.iloc[0]], "seed": [np.uint64(seed).astype(np.int64)], "segment": [segment], "segments": [segments], "table": [table]})
 
-    return entries.select("bucket", "digest").groupBy("bucket").applyInPandas(build, "bucket long, seed long, segment long, segments long, table binary")
+    return entries.select("batch", "bucket", "digest").groupBy("batch", "bucket").applyInPandas(build, "batch int, bucket long, seed long, segment long, segments long, table binary")
 
 
 def screen(incoming: DataFrame, built: DataFrame) -> DataFrame:
-    """The rows of `incoming` (bucket, digest) that some filter lets pass."""
+    """digest, snapshot of the rows of `incoming` (batch, bucket, digest) that the filter of an earlier batch lets pass."""
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return left[["digest"]].iloc[:0]
-        f = right.iloc[0]
-        return left[["digest"]][probe_filter(_key(left.digest), int(np.int64(f.seed).astype(np.uint64)), int(f.segment), int(f.segments), f.table)]
+        out = []
+        keys, batch = _key(left.digest), left.batch.to_numpy()
+        for f in right.itertuples():
+            later = batch > f.batch
+            if later.any():
+                hit = probe_filter(keys[later], int(np.int64(f.seed).astype(np.uint64)), int(f.segment), int(f.segments), f.table)
+                out.append(pd.DataFrame({"digest": left.digest[later][hit], "snapshot": np.full(int(hit.sum()), f.batch, np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"digest": [], "snapshot": np.zeros(0, np.int32)})
+
+    return incoming.select("batch", "bucket", "digest").groupBy("bucket").cogroup(built.groupBy("bucket")).applyInPandas(probe, "digest binary, snapshot int")
 
-    return incoming.select("bucket", "digest").groupBy("bucket").cogroup(built.groupBy("bucket")).applyInPandas(probe, "digest binary")
+
+def _best() -> Column:
+    """Which of equal texts stays: most code points, then the smallest doc_id (null last), then any."""
+    return F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("rid").alias("r"))
 
 
 def dedup(docs: DataFrame, batch: Column, batches: int, keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
@@ -123,43 +136,63 @@ def dedup(docs: DataFrame, batch: Column, batches: int, keys_per_filter: int = K
     `batch`: the number of the batch in which a row arrives, from 0 to `batches` - 1.
     """
     rows = docs.select("doc_id", batch.cast("int").alias("batch"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("norm"))
-    rows = rows.select("doc_id", "batch", "n_points", F.unhex(F.sha2("norm", 256)).alias("digest"), "norm")
+    rows = rows.select("doc_id", "batch", "n_points", _digest(F.col("norm")).alias("digest"), "norm")
     base = materialize(rows.drop("norm").withColumn("rid", F.monotonically_increasing_id()))
-    entries = base.groupBy("batch", "digest").agg(F.count("*").alias("n"))
+    # inside a batch
+    entries = base.groupBy("batch", "digest").agg(F.count("*").alias("n"), F.min(_best()).alias("best"))
     n_buckets = max(8, math.ceil(base.count() / keys_per_filter))
     entries = materialize(entries.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(n_buckets))))
-    seen = []  # digests with a copy: inside a batch, or in an earlier snapshot
-    seen.append(entries.where("n > 1").select("digest"))
-    for k in range(1, batches):
-        mine = entries.where(F.col("batch") == k)
-        for j in range(k):
-            snapshot = entries.where(F.col("batch") == j)
-            maybe = screen(mine, filters(snapshot))
-            seen.append(maybe.join(snapshot.select("digest"), "digest", "left_semi"))
-    several = seen[0]
-    for s in seen[1:]:
-        several = several.union(s)
-    several = materialize(several.distinct())
-    # the exact buckets: whole texts of digests that occur again, against one text of each
-    # (a map of fixed size keeps most other texts from being shuffled)
-    some = marked(rows.withColumn("h", F.xxhash64("digest")), hash_map(several.select(F.xxhash64("digest").alias("h")))).where("in_map")
-    again = some.join(several.hint("shuffle_hash"), "digest", "left_semi").select("digest", "doc_id", "n_points", "norm")
-    first = base.join(several, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_points")).alias("f")).select("digest", F.col("f.doc_id").alias("f_id"), F.col("f.n_points").alias("f_points"))
-    first = materialize(first)
-    again = materialize(again, "lz4")
-    texts = again.join(first.hint("shuffle_hash"), "digest").where(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("n_points") == F.col("f_points"))).select("digest", F.col("norm").alias("f_norm")).dropDuplicates(["digest"])
-    other = again.join(texts.hint("shuffle_hash"), "digest").where(F.col("norm") != F.col("f_norm")).select("digest", F.col("doc_id").alias("o_id"), F.col("n_points").alias("o_points"), F.col("norm").alias("sub")).distinct()
-    other = materialize(other)
-    if other.isEmpty():
-        final = base.withColumn("sub", F.lit(""))
-    else:  # equal digests of different bytes: the text itself tells the groups apart
-        b = base.withColumnRenamed("digest", "d")
-        final = b.join(other, (b.d == other.digest) & b.doc_id.eqNullSafe(other.o_id) & (b.n_points == other.o_points), "left").select(b.doc_id, b.batch, b.n_points, b.d.alias("digest"), b.rid, F.coalesce("sub", F.lit("")).alias("sub"))
-    groups = final.groupBy("digest", "sub").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("rid").alias("r"))).alias("k"))
-    groups = materialize(groups.select("digest", "sub", "group_size", F.col("k.i").alias("keep_id"), F.col("k.r").alias("keep_rid")))
-    return final.join(groups, ["digest", "sub"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "batch"
-    )
+    # against the snapshots: filters first, then the exact digests of the snapshot whose filter let one pass
+    built = materialize(filters(entries.where(F.col("batch") < batches - 1)))
+    passed = screen(entries.where("batch > 0"), built).withColumnRenamed("snapshot", "batch")
+    matched = materialize(passed.distinct().join(entries.select("digest", "batch"), ["digest", "batch"], "left_semi").select("digest").distinct())
+    # one row for each group of several rows, under every batch that it has rows in
+    many = entries.join(matched, "digest", "left_semi").groupBy("digest").agg(F.sum("n").alias("n"), F.min("best").alias("best"), F.collect_list("batch").alias("batches"))
+    alone = entries.join(matched, "digest", "left_anti").where("n > 1").select("digest", "n", "best", F.array("batch").alias("batches"))
+    groups = materialize(many.unionByName(alone).select(F.explode("batches").alias("batch"), "digest", "n", "best").withColumn("gid", F.xxhash64("digest", "batch")))
+    bits = hash_map(groups.select(F.col("gid").alias("h")).distinct())
+    split = marked(base.withColumn("gid", F.xxhash64("digest", "batch")).withColumn("h", F.col("gid")), bits).drop("h")
+    hot = groups.where(f"n > {HOT}").select(F.xxhash64("gid").alias("h"))
+    found = salted_join(split.where("in_map").drop("in_map"), groups.select("gid", F.col("digest").alias("g_digest"), "n", "best"), "gid", hot, "left")
+    found = materialize(found.withColumn("n", F.when(F.col("g_digest") == F.col("digest"), F.col("n"))))  # gid names a digest but for chance
+    other = _different(rows, found, hot)
+    if not other.isEmpty():
+        found = _regrouped(found, other)
+    several = found.where("n IS NOT NULL").select("doc_id", "batch", "digest", F.col("best.i").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("best.r")).alias("kept"))
+    one = split.where("NOT in_map").select("doc_id", "batch", "digest").unionByName(found.where("n IS NULL").select("doc_id", "batch", "digest"))
+    every = several.unionByName(one.select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
+    return every.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "batch")
+
+
+def _digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
+def _different(rows: DataFrame, found: DataFrame, hot: DataFrame) -> DataFrame:
+    """digest, doc_id, n_points, sub (the text): rows whose bytes differ from those of their group's representative.
+
+    Only the texts of groups of several rows come here; the representative's text goes to each task that has some of its rows.
+    """
+    held = found.where("n IS NOT NULL")
+    # a group's digest and the row that represents it, once for all batches
+    keys = materialize(held.groupBy("digest").agg(F.first("best").alias("best"), F.max("n").alias("n")).withColumn("h", F.xxhash64("digest")))
+    some = marked(rows.withColumn("h", F.xxhash64("digest")), hash_map(keys.select("h"))).where("in_map").drop("in_map", "h")
+    texts = some.join(keys.select("digest", "best").hint("shuffle_hash"), "digest").where(F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("n_points") == -F.col("best.p")))
+    texts = materialize(texts.select("digest", F.col("norm").alias("f_norm")).dropDuplicates(["digest"]), "lz4")
+    j = salted_join(some, texts, "digest", keys.where(f"n > {HOT}").select("h"))
+    return materialize(j.where(F.col("norm") != F.col("f_norm")).select("digest", "doc_id", "n_points", F.col("norm").alias("sub")).distinct())
+
+
+def _regrouped(found: DataFrame, other: DataFrame) -> DataFrame:
+    """Equal digests of different bytes: the text itself tells the groups of these digests apart."""
+    bad = other.select("digest").distinct()
+    rest = found.join(bad, "digest", "left_anti")
+    b = found.join(bad, "digest", "left_semi").drop("n", "best", "g_digest")
+    o = other.select(F.col("digest").alias("o_digest"), F.col("doc_id").alias("o_id"), F.col("n_points").alias("o_points"), "sub")
+    b = b.join(o, (b.digest == o.o_digest) & b.doc_id.eqNullSafe(o.o_id) & (b.n_points == o.o_points), "left").drop("o_digest", "o_id", "o_points")
+    b = b.withColumn("sub", F.coalesce("sub", F.lit("")))
+    g = b.groupBy("digest", "sub").agg(F.count("*").alias("n"), F.min(_best()).alias("best"))
+    return rest.select("doc_id", "batch", "digest", "rid", "n", "best").unionByName(b.join(g, ["digest", "sub"]).select("doc_id", "batch", "digest", "rid", "n", "best"))
 
 
 ship(__name__)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import NOT_SPACE, materialize
+from .common import NOT_SPACE, materialize, ship
 
 LEVELS, BITS = 5, 12
 MOST = 3
@@ -23,26 +23,31 @@ MOST = 3
 def ranked(sources: DataFrame, order: list[Column]) -> DataFrame:
     """Numbers from 0 in the given order, without one task for all rows: a count per range, then a local rank."""
     parts = materialize(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("a.part") > F.col("b.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("c"))  # a row for each range
+    before = sizes.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
     local = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     return parts.withColumn("local", local).join(before, "part").select(*sources.columns, (F.col("before") + F.col("local")).alias("rank"))
 
 
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
-    """sizes: source, source_size. Adds weight (1, 2, 3 by rank) and target: shares of the sum, at most `most` x size."""
+    """sizes: source, source_size. Adds weight (1, 2, 3 by rank) and target: shares of the sum, at most `most` x size.
+
+    Who is above the level of the free sources stays above as the level rises, so each round needs the last level only: one job
+    for a round, and a round for each time that the level rises.
+    """
     by_code_point = [F.col("source").isNull().asc(), F.col("source").cast("binary").asc()]
     s = materialize(ranked(sizes, by_code_point).select("source", "source_size", (F.col("rank") % 3 + 1).alias("weight")))
-    total = s.agg(F.sum("source_size")).first()[0] or 0
     above, held = F.lit(False), None
-    while True:  # each round caps at least one more weight-to-size ratio; a few scalars come to the driver
-        free = s.where(~above).agg(F.sum("weight"), F.count("*")).first()
-        taken = s.where(above).agg(F.sum(most * F.col("source_size"))).first()[0] or 0
-        if free[1] == held or not free[1]:
+    while True:
+        one = s.agg(
+            F.sum("source_size"), F.sum(F.when(~above, F.col("weight"))), F.count(F.when(~above, 1)), F.sum(F.when(above, most * F.col("source_size")))
+        ).first()  # four numbers
+        total, weights, free, taken = one[0] or 0, one[1] or 0, one[2], one[3] or 0
+        if free == held or not free:
             break
-        held, rest, weights = free[1], total - taken, free[0]
-        above = (F.lit(rest) * F.col("weight") > most * F.col("source_size") * F.lit(weights)) | above
-    share = (F.lit(total - taken) * F.col("weight")).cast("double") / F.lit(free[0] or 1).cast("double")
+        held = free
+        above = F.lit(total - taken) * F.col("weight") > most * F.col("source_size") * F.lit(weights)
+    share = (F.lit(total - taken) * F.col("weight")).cast("double") / F.lit(weights or 1).cast("double")
     return s.withColumn("target", F.when(above, (most * F.col("source_size")).cast("double")).otherwise(share))
 
 
@@ -57,7 +62,8 @@ def _size() -> Column:
 
 
 def _key(df: DataFrame) -> Column:
-    return F.coalesce(df["source"], F.lit("\0"))  # joins need a null source to be a value
+    # joins need a null source to be a value, and no other source's
+    return F.when(df["source"].isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), df["source"].cast("string")))
 
 
 def thresholds(base: DataFrame, most: int = MOST) -> DataFrame:
@@ -100,9 +106,13 @@ def mixed(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, all columns; a document taken in part counts from half on."""
     names = docs.columns
     plan = thresholds(materialize(docs.select("source", _size().alias("size"), _hash().alias("hash"))), most)
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns])
-    d = docs.withColumn("_h", _hash()).withColumn("_n", _size())
-    j = d.join(plan, F.coalesce(d["source"], F.lit("\0")) == plan["_k"])
-    part = F.expr("CASE WHEN _h < _threshold THEN _n WHEN _h = _threshold THEN _n * _rest div _edge ELSE 0 END")
-    times = (F.col("_copies") + F.when((part > 0) & (2 * part >= F.col("_n")), 1).otherwise(0)).cast("int")
-    return j.withColumn("_times", times).where("_times > 0").withColumn("_pass", F.explode(F.expr("sequence(1, _times)"))).select(*[d[c] for c in names])
+    own = {c: f"_{c}_of_plan" for c in plan.columns}  # the rows keep their columns in a struct, so that no name clashes
+    d = docs.select(F.struct(*names).alias("_row"), _hash().alias("_h_of_row"), _size().alias("_n_of_row"), _key(docs).alias("_k_of_row"))
+    j = d.join(plan.withColumnsRenamed(own), F.col("_k_of_row") == F.col(own["k"]))
+    part = F.expr("CASE WHEN _h_of_row < _threshold_of_plan THEN _n_of_row WHEN _h_of_row = _threshold_of_plan THEN _n_of_row * _rest_of_plan div _edge_of_plan ELSE 0 END")
+    times = (F.col(own["copies"]) + F.when((part > 0) & (2 * part >= F.col("_n_of_row")), 1).otherwise(0)).cast("int")
+    taken = j.select("_row", times.alias("_times")).where("_times > 0")
+    return taken.select("_row", F.explode(F.expr("sequence(1, _times)")).alias("_pass")).select(*[F.col("_row")[c].alias(c) for c in names])
+
+
+ship(__name__)

@@ -307,3 +307,36 @@ def test_split_pivots_pass_pairs_on_once(spark):
     y = np.array([[5, 9, jaccard._NONE, jaccard._NONE], [3, 7, jaccard._NONE, jaccard._NONE]])
     assert jaccard.here(x, y, np.array([4, 4]), np.array([1, 0])).tolist() == [True, True]
     assert jaccard.here(x, y, np.array([4, 4]), np.array([2, 0])).tolist() == [False, True]
+
+
+def test_filters_decide_who_is_a_copy(spark, monkeypatch):
+    """Copies in different batches are found through the filters; without what they let pass only those of a batch are."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, f"text {k % 5}") for k in range(40)] + [(None, "text 1"), (77, None), (78, " \t"), (79, "own")], "doc_id long, text string")
+    whole = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs, F.pmod(F.coalesce("doc_id", F.lit(0)) / 5, F.lit(3)).cast("int"), 3).collect()}
+    assert {x for x in whole if x[0] in (0, 1, 5, 77, 78, 79, None)} == {(0, 0, 8, True), (1, 1, 9, True), (5, 0, 8, False), (None, 1, 9, False), (77, 78, 2, False), (78, 78, 2, True), (79, 79, 1, True)}
+    none = exact_dedup.screen
+    monkeypatch.setattr(exact_dedup, "screen", lambda incoming, built: none(incoming, built).where(F.lit(False)))
+    blind = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs, F.pmod(F.coalesce("doc_id", F.lit(0)) / 5, F.lit(3)).cast("int"), 3).collect()}
+    assert blind != whole and max(x[2] for x in blind) < 9
+
+
+def test_equal_digests_of_different_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "_digest", lambda norm: F.unhex(F.sha2(F.substring(norm, 1, 2), 256)))
+    docs = spark.createDataFrame([(1, "aab"), (2, "aac"), (3, "aa b"), (4, "zz"), (5, "aac"), (6, "aad")], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(docs, F.pmod("doc_id", F.lit(2)), 2).collect()}
+    assert got == {(1, 3, 2), (3, 3, 2), (2, 2, 2), (5, 2, 2), (4, 4, 1), (6, 6, 1)}
+
+
+def test_sources_of_any_name(spark):
+    """A null source is not the source named by a null character, and columns of any name stay."""
+    rows = [(1, "a b c", None), (2, "a b", "\0"), (3, "d e f", ""), (4, "g", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.size, r.source_size) for r in mixing.mix(d).collect()}
+    assert got == {1: (3, 3), 2: (2, 2), 3: (3, 3), 4: (1, 1)} and mixing.mix(d).count() == 4
+    for c in ("_h", "_n", "_k", "_times", "_pass", "k", "threshold", "rest"):
+        d = d.withColumn(c, d.doc_id)
+    assert mixing.mixed(d).columns == d.columns and mixing.mixed(d).count() > 0
