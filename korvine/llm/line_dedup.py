@@ -1,33 +1,37 @@
 """Line dedup by a segment-partition edit join. SQL functions only.
 
-Equal lines collapse first. A line is then split into TAU + 1 segments: a line within TAU edits keeps one of them whole,
-at a place at most TAU away. Each line enters an index by (length, number of segment, segment), and probes it, for each
-length from its own down to TAU less, with its substrings near a segment's place (the multi-match-aware choice: as many
-as can be needed and no more). Lines that meet are verified by edit distance, banded by the threshold.
+Equal lines collapse first. Of lines of length m, near means within tau(m) = min(TAU, m div CHARS_PER_EDIT) edits, m being the
+shorter one's. A line is split into tau(m) + 1 segments: a line within that many edits keeps one of them whole, at a place at most as
+far away. Each line enters an index by (length, number of segment, segment), and probes it, for each length from its own down to TAU
+less, with its substrings near a segment's place (the multi-match-aware choice: as many as can be needed and no more). Lines that
+meet are verified by a banded bit-parallel edit distance: a column of the band is a word of 2 TAU + 1 bits (vertical steps up and
+down), and one pass of shifts and sums over the other line's characters moves it along the diagonal.
 
-A line goes where an equal line came earlier, in its document or in one with a smaller id, and also if any earlier line
-is within TAU edits of it. Lines shorter than LEAST_CHARS always stay, and those shorter than LEAST_FUZZY go for equal
-lines only. A document that loses all its lines goes altogether.
+A line with a word goes where an equal line came earlier, in its document or in one with a smaller id, and also if any earlier line
+is near it; however short it is, an equal one goes. A document that loses all its lines goes altogether.
 
 Nulls: a null text is empty, has one empty line and stays; a null doc_id comes last. Rows of the same doc_id and text
-count as one document. Empty table: no rows.
+count as one document. Columns of any name stay. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import NOT_SPACE, hash_map, marked, materialize
+from .common import NOT_SPACE, hash_map, marked, materialize, salted_join
 
 TAU = 2
-LEAST_CHARS, LEAST_FUZZY = 16, 32
+#: A line has an edit for each so many characters, up to TAU.
+CHARS_PER_EDIT = 16
+#: Occurrences of a line from which on its places are dealt over several tasks.
+HOT = 1024
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the row), line_no, line of every line that may go."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("key", F.xxhash64("doc_id", "t"))
     d = d.select("doc_id", "key", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
-    return d.where((F.length("line") >= LEAST_CHARS) & F.col("line").rlike(NOT_SPACE))
+    return d.where(F.col("line").rlike(NOT_SPACE))
 
 
 #: Letters whose counts go into a line's signature, modulo 4 and in Gray code: two bits each.
@@ -52,28 +56,53 @@ def classes(lines: DataFrame) -> DataFrame:
     return lines.select("h", "h2", place.alias("p")).groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("p").alias("first"))
 
 
-def _segment(length: str, i: int, tau: int) -> tuple[str, str]:
-    """SQL for (place from 1, length) of segment i of `tau` + 1 of a line so long; the last ones are one longer."""
-    k = tau + 1
-    short = f"({length} div {k})"
-    n_short = f"({k} - {length} % {k})"
-    return f"(1 + {i} * {short} + greatest(0, {i} - {n_short}))", f"({short} + IF({i} >= {n_short}, 1, 0))"
+def _tau(length: str, tau: int) -> str:
+    return f"least({tau}, {length} div {CHARS_PER_EDIT})"
 
 
 def _rows(lines: DataFrame, tau: int, own: bool, others: bool) -> DataFrame:
     """k, h: the index entries of lines (own), and what they look for besides (others)."""
-    wanted = []
-    for delta in range(tau + 1):
-        for i in range(tau + 1):
-            for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                if (own and (delta, shift) == (0, 0)) or (others and (delta, shift) != (0, 0)):
-                    wanted.append(f"named_struct('d', {delta}, 'i', {i}, 's', {shift})")
-    d = lines.select("line", "h", F.length("line").alias("l"), F.explode(F.expr(f"array({', '.join(wanted)})")).alias("x")).select("line", "h", "l", F.expr("l - x.d").alias("m"), "x.i", "x.s")
-    at, n = _segment("m", "i", tau)
-    d = d.select("line", "h", "l", "m", "i", "s", F.expr(f"{at} + s").alias("at"), F.expr(n).alias("n")).where("at >= 1 AND at + n - 1 <= l")
+    wanted: dict[int, list[str]] = {t: [] for t in range(1, tau + 1)}
+    for t, out in wanted.items():
+        for delta in range(t + 1):
+            for i in range(t + 1):
+                for shift in range(max(-i, delta - (t - i)), min(i, delta + (t - i)) + 1):
+                    if (own and (delta, shift) == (0, 0)) or (others and (delta, shift) != (0, 0)):
+                        out.append(f"named_struct('t', {t}, 'd', {delta}, 'i', {i}, 's', {shift})")
+    every = f"array({', '.join(x for out in wanted.values() for x in out)})"
+    # lines far from the lengths at which tau changes have the entries of one tau
+    whole = " ".join(f"WHEN l >= {CHARS_PER_EDIT * t + tau}{f' AND l < {CHARS_PER_EDIT * (t + 1)}' if t < tau else ''} THEN array({', '.join(out)})" for t, out in wanted.items())
+    rest = f"filter({every}, x -> x.t = {_tau('(l - x.d)', tau)})"
+    d = lines.select("line", "h", F.length("line").alias("l")).select("line", "h", "l", F.explode(F.expr(f"CASE {whole} ELSE {rest} END")).alias("x"))
+    d = d.select("line", "h", "l", F.expr("l - x.d").alias("m"), "x.i", "x.s", F.expr("x.t + 1").alias("k"))
+    # segment i of k of a line of length m: (place from 1, length); the last ones are one longer
+    short, n_short = "(m div k)", "(k - m % k)"
+    at, n = f"(1 + i * {short} + greatest(0, i - {n_short}))", f"({short} + IF(i >= {n_short}, 1, 0))"
+    d = d.select("line", "h", "l", "m", "i", F.expr(f"{at} + s").alias("at"), F.expr(n).alias("n")).where("at >= 1 AND at + n - 1 <= l")
     return d.select(F.expr("xxhash64(m, i, substring(line, at, n))").alias("k"), "h")
 
 
+def edit_distance(s: str, t: str, tau: int) -> Column:
+    """The edit distance of two columns of texts if it is `tau` at most, else more than `tau`: banded and bit-parallel.
+
+    Texts of `tau` characters at least, whose lengths differ by `tau` at most. Bit b of a column j's word is row j - tau + b; vp and vn
+    tell where the distance steps up and down from the row before. d follows the lowest diagonal of the band down to the last row,
+    and that row from there on.
+    """
+    w = 2 * tau + 1
+    mask = (1 << w) - 1
+    bits = " | ".join(f"IF(get(a, j + {b - tau}) = c, {1 << b}, 0)" for b in range(w))
+    xs = f"transform(array(split({s}, '')), a -> transform(split({t}, ''), (c, j) -> {bits}))[0]"
+    zero = f"named_struct('vp', {mask & ~((1 << tau) - 1)}, 'vn', 0, 'd', {tau}, 'j', 1)"
+    diagonal = "(((x & z.vp) + z.vp) ^ z.vp | x | z.vn) & " + str(mask)
+    row = f"(length({s}) - z.j + {tau})"
+    step = (
+        f"named_struct('vp', (y & z.vp) | ({mask} & ~(shiftright(y, 1) | hp)), 'vn', shiftright(y, 1) & hp, "
+        f"'d', z.d + IF(z.j <= length({s}) - {tau}, 1 - (shiftright(y, {w - 1}) & 1), (shiftright(hp, {row}) & 1) - (shiftright(y & z.vp, {row}) & 1)), 'j', z.j + 1)"
+    )
+    return F.expr(f"aggregate({xs}, {zero}, (z, x) -> transform(array({diagonal}), y -> transform(array(z.vn | ({mask} & ~(y | z.vp))), hp -> {step})[0])[0], z -> z.d)")
+
+
 def meetings(lines: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
     """(k, h of what finds another line in the index; k, h of the entries found): as many rows as there are entries at most.
 
@@ -98,8 +127,8 @@ def _once(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near(lines: DataFrame, found: DataFrame, tau: int = TAU) -> DataFrame:
-    """h, h2, g, g2: links between distinct lines (line, h, h2) within `tau` edits. `found`: their classes."""
-    long = _once(lines.where(F.length("line") >= LEAST_FUZZY).select("h", "h2", "line"), found)
+    """h, h2, g, g2: links between distinct lines (line, h, h2) within `tau` edits, or fewer for short ones. `found`: their classes."""
+    long = _once(lines.where(F.length("line") >= CHARS_PER_EDIT).select("h", "h2", "line"), found)
     found, hit = meetings(long, tau)
     some = found.select("h").union(hit.select("h")).distinct()
     texts = materialize(marked(long, hash_map(some)).where("in_map").drop("in_map").join(some, "h", "left_semi").dropDuplicates(["h", "h2"]).withColumn("sig", signature("line")))
@@ -109,7 +138,8 @@ def near(lines: DataFrame, found: DataFrame, tau: int = TAU) -> DataFrame:
     met = left.join(right, (left.k == right.k) & (left.h != right.g) & (F.bit_count(left.sig.bitwiseXOR(right.sig2)) <= 2 * tau))
     met = materialize(met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct())
     both = met.join(texts.select(F.col("h").alias("a"), "h2", F.col("line").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("h2").alias("g2"), F.col("line").alias("t")), "b")
-    both = both.where(F.abs(F.length("s") - F.length("t")) <= tau).where(F.levenshtein("s", "t", tau) >= 0)
+    short = F.expr(_tau("least(length(s), length(t))", tau))
+    both = both.where(F.abs(F.length("s") - F.length("t")) <= short).where(edit_distance("s", "t", tau) <= short)
     return both.select(F.col("a").alias("h"), "h2", F.col("b").alias("g"), "g2")
 
 
@@ -128,27 +158,27 @@ def decisions(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
 
 
 def drops(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """doc_id, key, exact and near: the numbers of the lines that a document loses, and which of them are near ones."""
+    """doc_id, key, lost (the numbers of the lines that a document loses) and n_near (how many of them are near ones only)."""
     lines, judged = decisions(docs, tau)
     first = (F.coalesce("doc_id", F.lit(0)) == F.coalesce("first.doc_id", F.lit(0))) & (F.col("key") == F.col("first.key")) & (F.col("line_no") == F.col("first.line_no"))
-    lost = lines.join(materialize(judged), ["h", "h2"]).where(~first | (F.col("n_earlier") > 0))
+    judged = materialize(judged.withColumnsRenamed({"h": "line_h", "h2": "own_h2"}))
+    hot = judged.where(f"n > {HOT}").select(F.xxhash64("line_h").alias("h"))
+    lost = salted_join(lines.withColumnRenamed("h", "line_h"), judged, "line_h", hot).where("h2 = own_h2").where(~first | (F.col("n_earlier") > 0))
     return lost.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("lost"), F.count(F.when(first, 1)).alias("n_near"))
 
 
 def rewritten(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """The rows of `docs` (doc_id, text, ...) with all columns, and n_lines, n_lost, n_near; text: what stays of it."""
+    """_row (struct of all columns of `docs`, text being what stays of it), n_lines, n_lost, n_near of every row."""
     lost = materialize(drops(docs, tau)).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), "lost", F.col("n_near").alias("_near"))
     names = docs.columns
-    d = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    j = d.join(lost.hint("shuffle_hash"), (d._k == lost._key) & (F.coalesce(d.doc_id, F.lit(0)) == lost._id), "left")
-    j = j.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    stays = F.expr("CASE WHEN lost IS NULL THEN text ELSE array_join(filter(_lines, (x, i) -> NOT array_contains(lost, i)), '\\n') END")
-    return j.select(
-        *[stays.alias("text") if c == "text" else c for c in names], F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_lost"), F.coalesce("_near", F.lit(0)).alias("n_near"),
-    )
+    d = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_k"))
+    j = d.join(lost.hint("shuffle_hash"), (d._k == lost._key) & (d._d == lost._id), "left")
+    j = j.withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n"))
+    stays = F.expr("CASE WHEN lost IS NULL THEN _text ELSE array_join(filter(_lines, (x, i) -> NOT array_contains(lost, i)), '\\n') END")
+    row = F.struct(*[stays.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
+    return j.select(row.alias("_row"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_lost"), F.coalesce("_near", F.lit(0)).alias("n_near"))
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """Of `rewritten` rows those that still have a line with a word, or lost none."""
-    return rows.where((F.col("n_lost") == 0) | F.col("text").rlike(NOT_SPACE))
+    """The columns of `docs` of those `rewritten` rows that still have a line with a word, or lost none."""
+    return rows.where((F.col("n_lost") == 0) | F.col("_row.text").rlike(NOT_SPACE)).select("_row.*")

@@ -1,9 +1,10 @@
 """Best-fit packing with swap-based local search.
 
 Documents become token ids with an end id; only those longer than a sequence are cut, with the short piece first. Full
-pieces are sequences of their own. The others are dealt into groups of a bounded size by hash. In a group they are
-placed best-fit, largest first, and then a local search works on the underfull bins: it moves a piece, exchanges one
-for one or one for two, whenever that increases the sum of squared fills, until no step does; emptied bins go.
+pieces are sequences of their own. The others are dealt into groups of about GROUP_PIECES, by their number in the written table of
+pieces, so that repeated rows do not meet in one group. In a group they are placed best-fit, largest first, and then a local search
+works on the underfull bins: it moves a piece, exchanges one for one or two for one, whenever that increases the sum of squared
+fills, until there are as few bins as the tokens need or no step is left; emptied bins go.
 
 Nulls: a null text is empty and consists of the end id alone. Repeated rows are packed one by one. Empty table: no rows.
 """
@@ -27,8 +28,6 @@ END_ID = 2
 GROUP_PIECES = 50_000
 #: Fixed value: the vocabulary's special token, an id of its own wherever it stands in a text.
 SPECIAL = {"<|endoftext|>": 50256}
-#: Underfull bins that one pass of the local search compares, fullest first; passes go on with the next ones.
-WINDOW = 256
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 _ENCODINGS: dict[str, object] = {}
 
@@ -106,61 +105,84 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(a: list[int], b: list[int], lengths: np.ndarray, capacity: int) -> bool:
-    """One step between two bins, the fuller one first, that increases the sum of squared fills; False if there is none.
+def _offers(members: list[int], lengths: np.ndarray) -> dict[int, tuple[int, ...]]:
+    """What a bin can give: a piece or two, one choice for each size. Fewer than 46 different sizes fit in a bin of 1024."""
+    by_size: dict[int, list[int]] = {}
+    for k in members:
+        by_size.setdefault(int(lengths[k]), []).append(k)
+    out: dict[int, tuple[int, ...]] = {n: (held[0],) for n, held in by_size.items()}
+    distinct = sorted(by_size)
+    for i, n in enumerate(distinct):
+        if len(by_size[n]) > 1:
+            out.setdefault(2 * n, tuple(by_size[n][:2]))
+        for m in distinct[i + 1 :]:
+            out.setdefault(n + m, (by_size[n][0], by_size[m][0]))
+    return out
 
-    The fuller bin gains what the other loses, so any gain of it increases the sum; the largest one possible is taken.
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Moves, one-for-one and two-for-one exchanges between underfull bins, each increasing the sum of squared fills.
+
+    From the emptiest bin on, each gives a piece or two to whichever other bin gains most by it, taking back nothing or a smaller
+    piece. It ends when there are as few bins as their total needs, or when no bin has such a step. The sum is a whole number and
+    only grows, so there is an end.
     """
-    room = capacity - sum(int(lengths[k]) for k in a)
-    if room <= 0 or not b:
-        return False
-    out = sorted({(0, ()), *((int(lengths[k]), (k,)) for k in a)})  # what a gives up: nothing (a move) or a piece
-    come = {int(lengths[k]): (k,) for k in b}
-    if len(b) <= 64:
-        for i, k in enumerate(b):
-            for m in b[i + 1 :]:
-                come.setdefault(int(lengths[k] + lengths[m]), (k, m))
-    sizes = sorted(come)
-    best, step = 0, None
-    for gone, give in out:
-        at = bisect_left(sizes, gone + room + 1) - 1
-        if at >= 0 and sizes[at] - gone > best:
-            best, step = sizes[at] - gone, (give, come[sizes[at]])
-    if step is None:
-        return False
-    give, take = step
-    for k in give:
-        a.remove(k)
-    for k in take:
-        b.remove(k)
-    a.extend(take)
-    b.extend(give)
-    return True
-
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, window: int = WINDOW) -> list[list[int]]:
-    """Moves, one-for-one and two-for-one exchanges from emptier into fuller bins, until nothing changes."""
-    fill = lambda b: int(sum(lengths[k] for k in b))
-    done = [b for b in bins if fill(b) == capacity]
-    open_ = sorted((b for b in bins if fill(b) < capacity), key=fill, reverse=True)
-    total = sum(map(fill, open_))
-    passes = 0
-    while len(open_) > max(1, math.ceil(total / capacity)) and passes < 50:
-        changed, passes = False, passes + 1
-        for lo in range(0, len(open_), window):
-            part = open_[lo : lo + window]
-            donors = [*part[::-1]] if len(open_) <= window else [*open_[::-1][: window // 4], *part[::-1]]
-            for donor in donors:
-                for b in part:
-                    if b is not donor and donor and b and fill(b) >= fill(donor):
-                        while improve(b, donor, lengths, capacity):
-                            changed = True
-        done += [b for b in open_ if b and fill(b) == capacity]
-        open_ = sorted((b for b in open_ if b and fill(b) < capacity), key=fill, reverse=True)
-        total = sum(map(fill, open_))
-        if not changed:
-            break
-    return done + open_
+    fill = np.array([int(lengths[b].sum()) if b else 0 for b in bins], np.int64)
+    done = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
+    held = [list(b) for b, f in zip(bins, fill, strict=True) if 0 < f < capacity]
+    fill = fill[(fill > 0) & (fill < capacity)]
+    n, needed, alive = len(held), math.ceil(int(fill.sum()) / capacity), len(held)
+    none = 4 * capacity  # no piece
+    sizes = np.full((n, 2 + max((len({int(lengths[k]) for k in b}) for b in held), default=0)), none, np.int64)
+
+    def note(b: int) -> None:
+        nonlocal sizes
+        own = sorted({int(lengths[k]) for k in held[b]})
+        if len(own) + 1 > sizes.shape[1]:
+            sizes = np.concatenate([sizes, np.full((n, len(own) + 1 - sizes.shape[1]), none, np.int64)], 1)
+        sizes[b] = none
+        if held[b]:
+            sizes[b, 0] = 0
+            sizes[b, 1 : len(own) + 1] = own
+
+    for b in range(n):
+        note(b)
+    changed = True
+    while changed and alive > needed:
+        changed = False
+        for donor in np.argsort(fill, kind="stable").tolist():
+            while held[donor] and fill[donor] < capacity and alive > needed:
+                offers = _offers(held[donor], lengths)
+                room, lead = capacity - fill, fill - fill[donor]
+                room[donor] = 0
+                best, step = 0, None
+                every = np.array(sorted(offers), np.int64)
+                for lo in range(0, len(every), 64):
+                    more = every[lo : lo + 64, None, None] - sizes[None]  # what a bin would gain
+                    gain = np.where((more >= 1) & (more <= room[None, :, None]), more * (more + lead[None, :, None]), 0)
+                    at = int(gain.argmax())
+                    if gain.flat[at] > best:
+                        best = int(gain.flat[at])
+                        s, b, x = np.unravel_index(at, gain.shape)
+                        step = int(every[lo + s]), int(b), int(sizes[b, x])
+                if step is None:
+                    break
+                size, b, back = step
+                take = offers[size]
+                give = next(((k,) for k in held[b] if lengths[k] == back), ()) if back else ()
+                for k in take:
+                    held[donor].remove(k)
+                for k in give:
+                    held[b].remove(k)
+                held[b].extend(take)
+                held[donor].extend(give)
+                fill[b] += size - back
+                fill[donor] -= size - back
+                alive -= not held[donor]
+                note(b)
+                note(donor)
+                changed = True
+    return done + [b for b in held if b]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +202,9 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
 def pack_documents(docs: DataFrame, ranks: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     small_batches(docs.sparkSession)
-    p = materialize(pieces(docs, ranks, capacity))
+    p = materialize(pieces(docs, ranks, capacity).withColumn("rid", F.monotonically_increasing_id()))
     groups = max(1, math.ceil(p.where(F.col("length") < capacity).count() / group_pieces))
-    full = p.where(F.col("length") == capacity)
+    full = p.where(F.col("length") == capacity).drop("rid")
     # any number above those of the groups' bins, of which a group has fewer than 2^31
     full = full.select("*", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
@@ -191,7 +213,7 @@ def pack_documents(docs: DataFrame, ranks: str, capacity: int = CAPACITY, group_
         which, offset = pack(pdf.length.to_numpy(), capacity)
         return pdf.assign(sequence_id=which + (pdf.g.iloc[0] << 31), offset=offset).drop(columns="g")
 
-    rest = p.where(F.col("length") < capacity).withColumn("g", F.pmod(F.xxhash64("doc_id", "ids_crc32", "length"), F.lit(groups)))
+    rest = p.where(F.col("length") < capacity).withColumn("g", F.pmod(F.xxhash64("rid"), F.lit(groups))).drop("rid")
     placed = rest.groupBy("g").applyInPandas(place, f"{PIECE}, sequence_id long, offset long")
     return full.unionByName(placed).withColumn("doc_id", F.col("doc_id").cast("long"))
 

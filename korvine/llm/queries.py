@@ -48,8 +48,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.rewritten(_read(spark, sf_dir, "documents"))
-    kept = (F.col("n_lost") == 0) | F.col("text").rlike(line_dedup.NOT_SPACE)
-    return rows.select("doc_id", "n_lines", "n_lost", "n_near", kept.alias("kept"), F.sha2("text", 256).alias("text_sha256"))
+    kept = (F.col("n_lost") == 0) | F.col("_row.text").rlike(line_dedup.NOT_SPACE)
+    return rows.select("_row.doc_id", "n_lines", "n_lost", "n_near", kept.alias("kept"), F.sha2("_row.text", 256).alias("text_sha256"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from re import _constants as C, _parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import hash_map, marked, materialize, salted_join
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,9 @@ RULES = (
     Rule("private_key", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 27),
 )
 
+#: Rows of one text from which on their join with the text's rules is dealt over several tasks.
+HOT = 256
+
 # ---- trigram queries: True (no information), a trigram, ("and", ...) or ("or", ...) ------------------------------------
 
 _MOST_EXACT = 32
@@ -150,11 +153,11 @@ def postings(texts: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """key, rules: the numbers of the rules whose query a text's postings satisfy."""
+    """key, rules, copies: the numbers of the rules whose query a text's postings satisfy, and how many rows have the text."""
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex)) is not True}
-    held = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))
+    held = index.groupBy("key").agg(F.collect_set("trigram").alias("held"), F.count("*").alias("postings"))
     numbers = F.array_compact(F.array(*[F.when(satisfied(q, F.col("held")), F.lit(k)) for k, q in queries.items()]))
-    return held.select("key", numbers.alias("rules")).where(F.size("rules") > 0)
+    return held.select("key", numbers.alias("rules"), F.expr("postings div size(held)").alias("copies")).where(F.size("rules") > 0)
 
 
 def spans_of(rule: Rule, text: str = "text") -> Column:
@@ -186,7 +189,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     d = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
     wanted = sorted(set().union(*(trigrams(trigram_query(r.regex)) for r in rules)))
     found = materialize(candidates(postings(d, wanted), rules))
-    d = d.join(found.hint("shuffle_hash"), "key", "left")
+    # only candidates meet their rules; a map of fixed size lets all other texts stay where they are
+    split = marked(d.withColumn("h", F.col("key")), hash_map(found.select(F.col("key").alias("h")))).drop("h")
+    hot = found.where(f"copies > {HOT}").select(F.xxhash64("key").alias("h"))
+    some = salted_join(split.where("in_map").drop("in_map"), found.select("key", "rules"), "key", hot, "left")
+    d = some.select("doc_id", "text", "rules").unionByName(split.where("NOT in_map").select("doc_id", "text", F.expr("cast(NULL AS array<int>)").alias("rules")))
     for k, r in enumerate(rules):
         if trigram_query(r.regex) is True:  # only so that texts without any match skip the extraction
             may = F.col("text").rlike(r.regex.replace("+)", f"{{{r.least},}})") if r.regex.endswith("+)") and r.group == 0 else r.regex)

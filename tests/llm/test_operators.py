@@ -36,7 +36,7 @@ def test_odd_rows_and_empty_tables(spark):
         assert identify(document_evidence(d), fit(sample(d))).count() == n
         r = line_dedup.rewritten(d)
         assert r.count() == n
-        found = {x.doc_id: x.n_lost for x in r.collect()}
+        found = {x._row.doc_id: x.n_lost for x in r.collect()}
         assert not rows or (found[5], found[7]) == (1, 1)
         assert jaccard.classes(d).count() == n
         assert packing.pack_documents(d, path).select("doc_id", "piece").count() >= n
@@ -107,7 +107,7 @@ def test_near_lines(spark):
     rng = np.random.default_rng(5)
     lines = []
     for _ in range(40):
-        s = "".join(rng.choice(list("abcdefé ")) for _ in range(rng.integers(36, 60)))
+        s = "".join(rng.choice(list("abcdefé ")) for _ in range(rng.integers(8, 60)))
         lines.append(s)
         for edits in (1, 2, 3):
             t = list(s)
@@ -117,11 +117,53 @@ def test_near_lines(spark):
                 t[at : at + (kind != 1)] = [] if kind == 2 else ["z"]
             lines.append("".join(t))
     docs = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(lines)], SCHEMA)
-    got = {r.doc_id for r in line_dedup.rewritten(docs).where("n_lost > 0").select("doc_id").collect()}
-    want = {j for j in range(len(lines)) if any(distance(lines[i], lines[j]) <= line_dedup.TAU for i in range(j))}
+    got = {r.doc_id for r in line_dedup.rewritten(docs).where("n_lost > 0").select("_row.doc_id").collect()}
+    tau = lambda n: min(line_dedup.TAU, n // line_dedup.CHARS_PER_EDIT)
+    want = {j for j in range(len(lines)) if any(distance(lines[i], lines[j]) <= tau(min(len(lines[i]), len(lines[j]))) for i in range(j))}
     assert got == want and F is not None
 
 
+def test_bit_parallel_distance(spark):
+    """The banded distance against the whole table of distances, for texts of any kind and bands of several widths."""
+    import random
+
+    rng = random.Random(1)
+
+    def whole(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    pairs = []
+    for _ in range(1500):
+        s = [rng.choice("abé ") for _ in range(rng.randrange(3, 40))]
+        t = list(s)
+        for _ in range(rng.randrange(5)):
+            at, kind = rng.randrange(max(len(t), 1)), rng.randrange(3)
+            t[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice("abcé😀")]
+        pairs.append(("".join(s), "".join(t)))
+    for tau in (1, 2, 3):
+        d = spark.createDataFrame(pairs, "s string, t string").where(f"abs(length(s) - length(t)) <= {tau} AND least(length(s), length(t)) >= {tau}")
+        for r in d.select("s", "t", line_dedup.edit_distance("s", "t", tau).alias("d")).collect():
+            want = whole(r.s, r.t)
+            assert r.d == want if want <= tau else r.d > tau, (tau, r.s, r.t)
+
+
+def test_short_lines_and_names_of_columns(spark):
+    """Equal lines of any length go; columns named like the operator's own stay."""
+    rows = [(1, "Yes.\nfirst"), (2, "Yes.\nsecond\n---"), (3, "no\n\n\n"), (4, "no"), (None, "Yes."), (6, "---\n x ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["lost", "n_lost", "_k", "_key", "_id", "_near", "_lines", "n_lines", "n_near", "h", "line_h"]
+    for c in names:
+        d = d.withColumn(c, d.doc_id)
+    out = line_dedup.survivors(line_dedup.rewritten(d))
+    assert out.columns == d.columns
+    assert {(r.doc_id, r.text, r.lost) for r in out.collect()} == {(1, "Yes.\nfirst", 1), (2, "second\n---", 2), (3, "no\n\n\n", 3), (6, " x ", 6)}
+
+
 def test_packing_round_trip(spark):
     lengths = np.random.default_rng(1).integers(1, 1024, 3000)
     which, offset = packing.pack(lengths)
@@ -132,6 +174,51 @@ def test_packing_round_trip(spark):
     assert len(np.unique(which)) <= 1.01 * np.ceil(lengths.sum() / 1024) + 1
 
 
+def test_packing_against_the_fewest_bins():
+    """Small sets against the true optimum; bins of hundreds of tiny pieces; no step is left at the end."""
+    from functools import lru_cache
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = rng.integers(1, 11, rng.integers(1, 10))
+
+        @lru_cache(None)
+        def fewest(rest, room):
+            if not rest:
+                return 0
+            best = 99
+            for i in range(len(rest)):
+                if i and rest[i] == rest[i - 1]:
+                    continue
+                left = rest[:i] + rest[i + 1 :]
+                best = min(best, fewest(left, room - rest[i]) if rest[i] <= room else 1 + fewest(left, 12 - rest[i]))
+            return best
+
+        which, _ = packing.pack(lengths, 12)
+        assert len(set(which.tolist())) <= 1 + fewest(tuple(sorted(lengths.tolist(), reverse=True)), 0)
+    lengths = np.array([1] * 500 + [700] * 3 + [900, 1000, 333])
+    bins = packing.local_search([list(range(500)), *[[k] for k in range(500, 506)]], lengths, 1024)
+    assert sorted(k for b in bins for k in b) == list(range(506)) and len(bins) <= 6
+    fills = sorted(int(lengths[b].sum()) for b in bins)
+    assert all(x <= 1024 for x in fills)
+
+
+def test_repeated_rows_are_dealt_over_groups(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(None, None)] * 300 + [(1, "one two three")] * 100, "doc_id long, text string")
+    out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), group_pieces=50)
+    rows = out.collect()
+    assert len(rows) == 400
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(by) >= 8
+    for held in by.values():
+        held.sort()
+        assert [o for o, _ in held] == [0, *np.cumsum([n for _, n in held])[:-1].tolist()] and sum(n for _, n in held) <= 1024
+
+
 def test_tokens_are_those_of_the_vocabulary_file():
     import public_tokenizers
     from tokenizers import Tokenizer
