@@ -3,18 +3,21 @@
 posterior(language) ~ host prior x P(declared language | language) x P(address suffix | language) x text likelihood.
 The text likelihood is a naive Bayes model over hashed byte trigrams of the whole text, tempered so that a long text
 does not drown the rest. Host priors are smoothed hierarchically (host, then its domain, then all), and these and the two
-conditionals come from grouped aggregations over all rows, in which each row votes for its most likely language by text.
+conditionals come from grouped aggregations over all rows, in which each row with letters votes for its most likely language by
+text. A row's own vote is taken out of the counts that judge it.
 
-The trigram model is fitted on a bounded sample of labelled rows (SAMPLE rows, chosen by hash of the id; at most
-LANGUAGES labels). Everything else uses all rows.
+The trigram model is fitted on a bounded sample of labelled rows (SAMPLE rows, the least by hash of the id). Every label of the
+sample can be an answer. Everything else uses all rows.
 
 Nulls: a null text is empty; null declared language, host and suffix give no evidence. A text without letters has no
-language (null, probability 0). Repeated rows are judged alike. Empty tables: no rows; without labelled rows no language.
+language (null, probability 0). Ties go to the first language by name. Repeated rows are judged alike. Columns of any name stay.
+Empty tables: no rows; without labelled rows no language.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,12 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize, mix64, ship, small_batches
 
-SAMPLE, LANGUAGES = 4000, 64
+SAMPLE = 4000
 BUCKETS = 1 << 16
+#: Languages up to which the model has BUCKETS buckets; with more it has fewer, so that its size is bounded.
+FULL = 64
 #: Trigrams beyond these count less: the log likelihood of a text is its mean times at most so many.
 MOST_TRIGRAMS = 200
 #: Documents that a domain's, or all hosts', prior counts for; the same for a conditional's uniform part.
@@ -49,7 +54,14 @@ class Model:
     """Log probabilities of trigram buckets, by language."""
 
     languages: tuple[str, ...]
-    weights: np.ndarray  # BUCKETS x languages, float32
+    weights: np.ndarray  # buckets x languages, float32
+
+    def buckets(self, code: np.ndarray) -> np.ndarray:
+        return code & (len(self.weights) - 1)
+
+
+def n_buckets(languages: int) -> int:
+    return BUCKETS >> max(0, math.ceil(math.log2(max(languages, 1) / FULL))) if languages > FULL else BUCKETS
 
 
 def trigrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -63,29 +75,37 @@ def trigrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(rows: DataFrame) -> Model:
     """The trigram model from labelled `rows` (lang, text), a bounded sample: a histogram for each language comes back."""
-    top = [r[0] for r in rows.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    names = tuple(sorted(top))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names), BUCKETS), np.int64)
-        for pdf in batches:
-            for lang, text in zip(pdf.lang, pdf.text, strict=True):
-                code, letter = trigrams(_ENDS + (text or "").encode() + _ENDS)
-                total[names.index(lang)] += np.bincount(code[letter], minlength=BUCKETS)
-        yield pd.DataFrame({"k": list(range(len(names))), "counts": [x.tobytes() for x in total]})
-
-    counts = np.zeros((len(names), BUCKETS))
+    labelled = rows.where("lang IS NOT NULL")
+    names = tuple(sorted(r[0] for r in labelled.select("lang").distinct().collect()))  # as many as the sample has rows at most
+    size = n_buckets(len(names))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, np.int64)
+        for text in pdf.text:
+            code, letter = trigrams(_ENDS + (text or "").encode() + _ENDS)
+            total += np.bincount(code[letter] & (size - 1), minlength=size)
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "counts": [total.astype("<u4").tobytes()]})
+
+    counts = np.zeros((len(names), size))
     if names:
-        for r in rows.where(F.col("lang").isin(list(names))).select("lang", "text").coalesce(4).mapInPandas(count, "k int, counts binary").collect():
-            counts[r.k] += np.frombuffer(r.counts, np.int64)
+        for r in labelled.select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, counts binary").collect():
+            counts[names.index(r.lang)] += np.frombuffer(r.counts, "<u4")
     p = counts + 0.1
     p /= p.sum(1, keepdims=True) if len(names) else 1
     return Model(names, np.log(p).T.astype(np.float32).copy())
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """At most `rows` labelled rows (lang, text) of `docs` (doc_id, lang, text), by hash of doc_id."""
-    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
+    """At most `rows` labelled rows (lang, text) of `docs` (doc_id, lang, text), the least by hash of doc_id.
+
+    A histogram of the hash's first 12 bits tells how far to go, so that only about as many ids are put in order.
+    """
+    key = F.md5(F.col("doc_id").cast("string"))
+    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", key.alias("key"), F.substring(key, 1, 3).alias("head"))
+    held = ids.groupBy("head").count()  # 4096 rows at most
+    upto = held.withColumn("before", F.sum("count").over(Window.orderBy("head")) - F.col("count"))
+    last = upto.where(F.col("before") < rows).agg(F.max("head")).first()[0] or ""
+    ids = ids.where(F.col("head") <= last).orderBy("key", "doc_id").limit(rows).select("doc_id")
     return materialize(docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text"))  # bounded by `rows`
 
 
@@ -96,7 +116,7 @@ def score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         data = _ENDS + text.encode() + _ENDS
         for lo in range(0, len(data) - 2, _CHUNK):  # a very long text goes in parts that overlap by two bytes
             code, letter = trigrams(data[lo : lo + _CHUNK + 2])
-            code = code[letter]
+            code = model.buckets(code[letter])
             n[i] += len(code)
             if len(code):
                 ll[i] += model.weights[code].sum(0)
@@ -146,42 +166,75 @@ def votes(rows: DataFrame, model: Model, html: bool) -> DataFrame:
     return out.withColumn("id", F.col("id").cast("long"))
 
 
-def _tallies(languages: int) -> list[Column]:
-    """How many rows vote for each language."""
-    return [F.sum(F.when(F.col("vote") == k, 1.0).otherwise(0.0)).alias(f"c{k}") for k in range(languages)]
+def tally(narrow: DataFrame, languages: int) -> DataFrame:
+    """declared, suffix, host, domain, votes (by language): how many rows with letters vote for each."""
+    v = narrow.where("n > 0").select("declared", "suffix", "host", "domain", F.expr("cast(array_position(ll, array_max(ll)) - 1 AS int)").alias("vote"))
+    counted = v.groupBy("declared", "suffix", "host", "domain", "vote").agg(F.count("*").cast("double").alias("c"))
+    votes_of = F.expr(f"aggregate(collect_list(struct(vote, c)), array_repeat(0D, {languages}), (a, x) -> transform(a, (y, i) -> IF(i = x.vote, y + x.c, y)))")
+    return counted.groupBy("declared", "suffix", "host", "domain").agg(votes_of.alias("votes"))
 
 
-def evidence(narrow: DataFrame, model: Model) -> DataFrame:
-    """declared, suffix, host, domain, prior (log, by language) for every combination in `narrow` (votes)."""
-    n = len(model.languages)
-    best = F.expr("cast(array_position(ll, array_max(ll)) - 1 AS int)")
-    v = narrow.where("n >= 20").select("declared", "suffix", "host", "domain", best.alias("vote"))
-    tally = materialize(v.groupBy("declared", "suffix", "host", "domain").agg(*_tallies(n)))
-    counts = [F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]
-    every = F.array(*[F.col(f"c{k}") for k in range(n)])
-    by = lambda key, name: tally.where(F.col(key).isNotNull()).groupBy(key).agg(*counts).select(key, every.alias(name))
-    total = tally.agg(*counts).first()
-    total = [float(x or 0.0) for x in total]
-    prior = [(x + 1.0) / (sum(total) + n) for x in total]
-    shrink = lambda c, p, rows: f"transform({c}, (x, i) -> (x + {rows} * {p}[i]) / (aggregate({c}, 0D, (a, y) -> a + y) + {rows}))"
-    lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    combos = narrow.select("declared", "suffix", "host", "domain").distinct()
-    j = combos.join(by("host", "h"), "host", "left").join(by("domain", "d"), "domain", "left").join(by("declared", "l"), "declared", "left").join(by("suffix", "s"), "suffix", "left")
-    j = j.withColumn("g", lit(prior)).withColumn("total", lit(total))
-    j = j.withColumn("pd", F.expr(f"CASE WHEN d IS NULL THEN g ELSE {shrink('d', 'g', PRIOR_ROWS)} END"))
-    j = j.withColumn("ph", F.expr(f"CASE WHEN h IS NULL THEN pd ELSE {shrink('h', 'pd', PRIOR_ROWS)} END"))
-    # P(value | language): votes for the language with this value, out of all its votes
-    given = lambda c: f"CASE WHEN {c} IS NULL THEN 0D ELSE ln(({c}[i] + {CONDITIONAL_ROWS} * 0.01) / (total[i] + {CONDITIONAL_ROWS})) END"
-    return j.select("declared", "suffix", "host", "domain", F.expr(f"transform(ph, (p, i) -> ln(p) + {given('l')} + {given('s')})").alias("prior"))
+def _summed(tallied: DataFrame, key: str | None, name: str, languages: int) -> DataFrame:
+    """key, the votes of all rows with it: one value for each language."""
+    t = tallied if key is None else tallied.where(F.col(key).isNotNull())
+    sums = [F.sum(F.col("votes")[k]).alias(f"v{k}") for k in range(languages)]
+    g = t.groupBy(key).agg(*sums) if key else t.agg(*sums)
+    return g.select(*([key] if key else []), F.array(*[F.coalesce(F.col(f"v{k}"), F.lit(0.0)) for k in range(languages)]).alias(name))
 
 
-def decided(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds lang and probability to rows with n, ll and prior."""
-    names = F.array(*[F.lit(x) for x in model.languages]) if model.languages else F.expr("cast(array() AS array<string>)")
-    r = rows.withColumn("lp", F.expr("zip_with(ll, prior, (a, b) -> a + b)")).withColumn("most", F.array_max("lp"))
-    r = r.withColumn("probability", F.expr("CASE WHEN n > 0 AND most IS NOT NULL THEN 1D / aggregate(lp, 0D, (a, x) -> a + exp(x - most)) ELSE 0D END"))
-    r = r.withColumn("lang", F.when((F.col("n") > 0) & F.col("most").isNotNull(), F.element_at(names, F.array_position("lp", F.col("most")).cast("int"))))
-    return r.drop("lp", "most")
+@dataclass(frozen=True)
+class Fusion:
+    """What holds for all rows: votes by language, and how many values declared languages and suffixes have."""
+
+    total: tuple[float, ...]
+    n_declared: int
+    n_suffix: int
+
+
+def evidence(narrow: DataFrame, model: Model) -> tuple[DataFrame, Fusion]:
+    """(declared, suffix, host, domain and the votes h, d, l, s of their host, domain, declared language and suffix; what holds for all)."""
+    n = len(model.languages)
+    t = materialize(tally(narrow, n))
+    total = _summed(t, None, "total", n).first()[0]  # a number for each language
+    values = t.agg(F.countDistinct("declared"), F.countDistinct("suffix")).first()
+    combos = narrow.select("declared", "suffix", "host", "domain").distinct()
+    j = combos.join(_summed(t, "host", "h", n), "host", "left").join(_summed(t, "domain", "d", n), "domain", "left").join(_summed(t, "declared", "l", n), "declared", "left").join(_summed(t, "suffix", "s", n), "suffix", "left")
+    return materialize(j.select("declared", "suffix", "host", "domain", "h", "d", "l", "s")), Fusion(tuple(total), max(values[0], 1), max(values[1], 1))
+
+
+def _matrix(column: list, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x languages, whether a row has votes)."""
+    held = np.array([x is not None for x in column], bool)
+    out = np.zeros((rows, k))
+    if held.any():
+        out[held] = np.array([x for x in column if x is not None], float)
+    return out, held
+
+
+def posterior(ll: np.ndarray, n: np.ndarray, votes_: dict[str, list], given: dict[str, np.ndarray], fusion: Fusion) -> np.ndarray:
+    """Probabilities of each language: rows x languages. votes_: lists of votes (h, d, l, s) of each row, None where its key is null;
+    given: whether a row has a declared language (l) and a suffix (s). A row that votes is left out of all counts."""
+    rows, k = ll.shape
+    own = np.zeros((rows, k))
+    cast = n > 0
+    own[np.flatnonzero(cast), ll[cast].argmax(1)] = 1
+    total = np.array(fusion.total) - own
+    prior = (total + 1.0) / (total.sum(1, keepdims=True) + k)
+    for c in ("d", "h"):
+        v, held = _matrix(votes_[c], rows, k)
+        v = np.where(held[:, None], np.maximum(v - own, 0), 0)
+        shrunk = (v + PRIOR_ROWS * prior) / (v.sum(1, keepdims=True) + PRIOR_ROWS)
+        prior = np.where(held[:, None], shrunk, prior)
+    lp = ll + np.log(prior)
+    for c, values in (("l", fusion.n_declared), ("s", fusion.n_suffix)):
+        v, held = _matrix(votes_[c], rows, k)
+        v = np.where(held[:, None], np.maximum(v - own, 0), 0)
+        # P(value | language): its votes with this value, out of all its votes; the uniform part sums to one over the values
+        p = np.log((v + CONDITIONAL_ROWS / (values + 1)) / (total + CONDITIONAL_ROWS))
+        lp += np.where(given[c][:, None], p, 0)
+    lp -= lp.max(1, keepdims=True)
+    p = np.exp(lp)
+    return p / p.sum(1, keepdims=True)
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,7 +253,21 @@ def identify(rows: DataFrame, model: Model, html: bool = False) -> DataFrame:
     narrow = materialize(votes(rows, model, html))
     if not model.languages:
         return narrow.drop("ll").withColumn("lang", F.lit(None).cast("string")).withColumn("probability", F.lit(0.0))
-    return decided(_joined(narrow, materialize(evidence(narrow, model)), KEYS), model).drop("ll", "prior")
+    ev, fusion = evidence(narrow, model)
+    names = np.array(model.languages, object)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ll, n = np.stack(pdf.ll.to_list()), pdf.n.to_numpy()
+            p = posterior(ll, n, {c: list(pdf[c]) for c in "hdls"}, {"l": pdf.declared.notna().to_numpy(), "s": pdf.suffix.notna().to_numpy()}, fusion)
+            best = p.argmax(1)
+            yield pdf[["id", "declared", "suffix", "host", "domain", "n"]].assign(lang=np.where(n > 0, names[best], None), probability=np.where(n > 0, p[np.arange(len(p)), best], 0.0))
+
+    j = _joined(narrow.withColumn("id", F.col("id").cast("string")), ev, KEYS)
+    out = j.mapInPandas(decide, "id string, declared string, suffix string, host string, domain string, n long, lang string, probability double")
+    return out.withColumn("id", F.col("id").cast("long"))
 
 
 def accepted_documents(docs: DataFrame, model: Model, least: float = LEAST_POSTERIOR) -> DataFrame:
@@ -212,20 +279,21 @@ def accepted_documents(docs: DataFrame, model: Model, least: float = LEAST_POSTE
     if not model.languages:  # without a labelled row no language is clear
         return docs.where(F.lit(False))
     small_batches(docs.sparkSession)
-    rows = document_evidence(docs)
-    priors = materialize(evidence(materialize(votes(rows, model, False)), model))
-    ev = {c: rows.schema[c] for c in KEYS}
-    marked = docs.select("*", F.lower("lang").alias("_declared"), F.lit(None).cast("string").alias("_suffix"), F.col("source").alias("_host"), F.regexp_replace("source", "[0-9]+$", "").alias("_domain"))
-    right = priors.select(*[F.coalesce(F.col(k), F.lit("\0")).alias(f"k_{k}") for k in ev], "prior")
-    joined = marked.join(right, [F.coalesce(marked[f"_{k}"], F.lit("\0")) == right[f"k_{k}"] for k in ev], "left").select(*[marked[c] for c in names], right["prior"].alias("_prior"))
+    ev, fusion = evidence(materialize(votes(document_evidence(docs), model, False)), model)
+    # the rows keep their columns in a struct, so that no name clashes
+    keyed = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("text"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.regexp_replace("source", "[0-9]+$", "").alias("domain"))
+    joined = _joined(keyed, ev, KEYS).select("_row", "text", "declared", "h", "d", "l", "s")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ll, n = score(model, [t or "" for t in batch.column("text").to_pylist()])
-            lp = ll + np.array([np.zeros(ll.shape[1]) if p is None else p for p in batch.column("_prior").to_pylist()]).reshape(ll.shape)
-            if lp.shape[1]:
-                p = 1 / np.exp(lp - lp.max(1, keepdims=True)).sum(1)
-                yield batch.select(names).filter(pa.array((n > 0) & (p >= least)))
+            declared = np.array([x is not None for x in batch.column("declared").to_pylist()], bool)
+            p = posterior(ll, n, {c: batch.column(c).to_pylist() for c in "hdls"}, {"l": declared, "s": np.zeros(len(n), bool)}, fusion)
+            ok = pa.array((n > 0) & (p.max(1) >= least))
+            rows = batch.column("_row").filter(ok)
+            yield pa.RecordBatch.from_arrays(rows.flatten(), names)
 
     return joined.mapInArrow(keep, docs.schema)
 
