@@ -49,6 +49,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _PHONE_FORM = re.compile(r"\(?[0-9]{3}\)?[-.]?[0-9]{3}[-.][0-9]{4}")
+_SEPARATED = re.compile(r"[0-9][0-9.,:/_-]*")
 _IP_FORM = re.compile(r"[0-9]{1,3}([.,:_-][0-9]{1,3}){3}")
 
 
@@ -128,16 +129,17 @@ def form(token: str) -> np.ndarray:
     f = np.zeros((len(LABELS), len(FITTED)))
     f[0, 0] = 1
     bare = _bare(token)
-    digits = sum(c in "0123456789" for c in bare)
+    number = "".join(c for c in bare if c in "0123456789")
     if "@" in bare.strip("@"):
         f[1, 1] = 1
-    if _IP_FORM.fullmatch(bare):
+    # in other separators, but with what the kind asks of its digits
+    if _IP_FORM.fullmatch(bare) and all(int(x) <= 255 for x in re.findall("[0-9]+", bare)):
         f[2, 2] = 1
-    if 13 <= digits <= 19:
+    if 13 <= len(number) <= 19 and _SEPARATED.fullmatch(bare) and luhn(number):
         f[3, 3] = 1
     if _PHONE_FORM.fullmatch(bare):
         f[4, 4] = 1
-    elif digits:
+    elif number:
         f[1:, 5] = 1
     return f
 
