@@ -45,7 +45,7 @@ FREQUENT = 1 << 18
 #: Bits of the map of sets whose shingles are fetched: what is broadcast has this size always.
 MAP_BITS = 1 << 26
 #: Rows that one group of `_meetings` has, about: larger ones are split.
-GROUP_ROWS = 1024
+GROUP_ROWS = 512
 #: Smallest tokens that a set of a split pivot carries, by which a pair knows the one part that passes it on.
 CARRIED = 32
 _NONE = np.iinfo(np.int64).max

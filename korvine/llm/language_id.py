@@ -79,16 +79,18 @@ def fit(rows: DataFrame) -> Model:
     names = tuple(sorted(r[0] for r in labelled.select("lang").distinct().collect()))  # as many as the sample has rows at most
     size = n_buckets(len(names))
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
-        for text in pdf.text:
-            code, letter = trigrams(_ENDS + (text or "").encode() + _ENDS)
-            total += np.bincount(code[letter] & (size - 1), minlength=size)
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "counts": [total.astype("<u4").tobytes()]})
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for lang, text in zip(pdf.lang, pdf.text, strict=True):
+                code, letter = trigrams(_ENDS + (text or "").encode() + _ENDS)
+                held = total.setdefault(lang, np.zeros(size, np.int64))
+                held += np.bincount(code[letter] & (size - 1), minlength=size)
+        yield pd.DataFrame({"lang": list(total), "counts": [x.astype("<u4").tobytes() for x in total.values()]})
 
     counts = np.zeros((len(names), size))
     if names:
-        for r in labelled.select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, counts binary").collect():
+        for r in labelled.select("lang", "text").coalesce(4).mapInPandas(count, "lang string, counts binary").collect():
             counts[names.index(r.lang)] += np.frombuffer(r.counts, "<u4")
     p = counts + 0.1
     p /= p.sum(1, keepdims=True) if len(names) else 1

@@ -45,7 +45,7 @@ def test_odd_rows_and_empty_tables(spark):
         assert len(back) == n
 
 
-@pytest.mark.parametrize("rows", [1024, 12])
+@pytest.mark.parametrize("rows", [512, 12])
 def test_jaccard_components(spark, monkeypatch, rows):
     monkeypatch.setattr(jaccard, "GROUP_ROWS", rows)
     rng = np.random.default_rng(3)
