@@ -15,8 +15,6 @@ from dataclasses import dataclass, field
 
 from . import tokens as T
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-
 SPECIFIERS = frozenset("auto const extern register static volatile inline restrict signed unsigned struct union enum typedef long short".split())
 TYPE_WORDS = frozenset(T.TYPES) - {"NULL"} | SPECIFIERS
 _BINARY = [["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!="], ["<", ">", "<=", ">="], ["<<", ">>"], ["+", "-"], ["*", "/", "%"]]
@@ -492,6 +490,7 @@ def parse(code: str) -> Node | None:
     """The tree of a text; None if it is blank."""
     if not code or not code.strip():
         return None
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # here, as workers get functions and not the module
     p = _Parser(code)
     root = p.unit()
     extra = sorted(p.comments + p.preproc, key=lambda n: n.start)

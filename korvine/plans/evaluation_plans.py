@@ -244,7 +244,7 @@ def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.synthetic(spark, sf_dir).select("id", "target").join(F.broadcast(w), "target").select("id", "weight")
 
 
-_SCHEMES = {"pos_weight": "neg / pos", "precision_focused_0": "1.15", "precision_focused_1": "0.85 * neg / pos", "boosted": "1.12 * neg / pos", "focal_alpha": "1.4 * neg / (pos + neg)"}
+_SCHEMES = {"pos_weight": "neg / nullif(pos, 0)", "precision_focused_0": "1.15", "precision_focused_1": "0.85 * neg / nullif(pos, 0)", "boosted": "1.12 * neg / nullif(pos, 0)", "focal_alpha": "1.4 * neg / nullif(pos + neg, 0)"}
 
 
 @_query("m11a_weight_schemes", f"WITH {corpus.CTE}, c AS (SELECT (count(*) FILTER (target))::DOUBLE AS pos, (count(*) FILTER (NOT target))::DOUBLE AS neg FROM functions) " + " UNION ALL ".join(f"SELECT '{n}' AS scheme, round(({e})::DOUBLE, 9) AS weight FROM c" for n, e in _SCHEMES.items()))
