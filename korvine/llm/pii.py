@@ -360,8 +360,8 @@ def fit(texts: DataFrame, steps: int = 60) -> dict[str, float]:
 
 
 def scan(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_<kind> of the base spans, base_sha256, spans (kind:start:end, joined)."""
-    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    """Per row of `docs` (doc_id, text): doc_id, n_<kind> of the base spans, base_sha256, spans (kind:start:end, joined), n_spans (of all)."""
+    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     join = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -373,6 +373,7 @@ def scan(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
                     rows[f"n_{k}"].append(sum(x[0] == k for x in base))
                 rows["base_sha256"].append(hashlib.sha256(join(base).encode()).hexdigest())
                 rows["spans"].append(join(every))
+                rows["n_spans"].append(len(every))
             if len(pdf):
                 yield pd.DataFrame({"doc_id": pdf.doc_id, **rows})
 

@@ -369,6 +369,18 @@ def test_field_carries_labels_on():
     assert pii.find("number 12 and 2020 in 1999") == ([], [])
 
 
+def test_scan_counts_every_span(spark):
+    """Null and empty texts, a null id, repeated rows and a column of a clashing name have a row each, with its own counts."""
+    card = "card 4984250489669609 here and again 4984-2504-8966-9609, there 4984.2504.8966.9609"
+    texts = [(1, card), (1, card), (2, None), (3, ""), (None, "mail a.b@c.example and 10.0.0.1 or 10.0.0.256"), (4, "no 12 of 2020")]
+    got = pii.scan(spark.createDataFrame([(*r, "x") for r in texts], "doc_id long, text string, n_spans string")).collect()
+    assert sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == [(0, 1, 1, 0, 0), (1, 0, 0, 2, 0), (1, 0, 0, 2, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
+    for r in got:
+        every = pii.find(dict(texts)[r.doc_id] or "")[1]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in every) and r.n_spans == len(every)
+    assert sorted(r.n_spans for r in got if r.doc_id == 1) == [3, 3]
+
+
 def test_every_repeated_mention_is_found():
     """One base span reaches all other mentions of it, however many there are, wherever it stands."""
     mail, card = "anna.berg@mail5.example.com", "4984250489669609"
