@@ -63,25 +63,34 @@ def _tau(length: str, tau: int) -> str:
 
 
 def _rows(lines: DataFrame, tau: int, own: bool, others: bool) -> DataFrame:
-    """k, h: the index entries of lines (own), and what they look for besides (others)."""
-    wanted: dict[int, list[str]] = {t: [] for t in range(1, tau + 1)}
+    """k, h: the index entries of lines (own), and what they look for besides (others).
+
+    Segment i of a line of length m that has t + 1 of them, the last ones one longer, is looked for s further on. No shift leaves the
+    line: a segment has a character at least, and there are as many segments after it as it can be moved on beyond delta.
+    """
+    wanted: dict[int, list[tuple[int, int, int]]] = {t: [] for t in range(1, tau + 1)}
     for t, out in wanted.items():
         for delta in range(t + 1):
             for i in range(t + 1):
                 for shift in range(max(-i, delta - (t - i)), min(i, delta + (t - i)) + 1):
                     if (own and (delta, shift) == (0, 0)) or (others and (delta, shift) != (0, 0)):
-                        out.append(f"named_struct('t', {t}, 'd', {delta}, 'i', {i}, 's', {shift})")
-    every = f"array({', '.join(x for out in wanted.values() for x in out)})"
-    # lines far from the lengths at which tau changes have the entries of one tau
-    whole = " ".join(f"WHEN l >= {CHARS_PER_EDIT * t + tau}{f' AND l < {CHARS_PER_EDIT * (t + 1)}' if t < tau else ''} THEN array({', '.join(out)})" for t, out in wanted.items())
-    rest = f"filter({every}, x -> x.t = {_tau('(l - x.d)', tau)})"
-    d = lines.select("line", "h", F.length("line").alias("l")).select("line", "h", "l", F.explode(F.expr(f"CASE {whole} ELSE {rest} END")).alias("x"))
-    d = d.select("line", "h", "l", F.expr("l - x.d").alias("m"), "x.i", "x.s", F.expr("x.t + 1").alias("k"))
-    # segment i of k of a line of length m: (place from 1, length); the last ones are one longer
-    short, n_short = "(m div k)", "(k - m % k)"
-    at, n = f"(1 + i * {short} + greatest(0, i - {n_short}))", f"({short} + IF(i >= {n_short}, 1, 0))"
-    d = d.select("line", "h", "l", "m", "i", F.expr(f"{at} + s").alias("at"), F.expr(n).alias("n")).where("at >= 1 AND at + n - 1 <= l")
-    return d.select(F.expr("xxhash64(m, i, substring(line, at, n))").alias("k"), "h")
+                        out.append((delta, i, shift))
+    k = tau + 1
+
+    def key(delta: int, i: int, shift: int) -> str:
+        at = f"{i} * short{delta} + greatest(0, more{delta} - {k - i}) + {1 + shift}"
+        return f"xxhash64(l - {delta}, {i}, substring(line, {at}, short{delta} + IF(more{delta} >= {k - i}, 1, 0)))"
+
+    # lines long enough have the entries of tau, each an expression of its own; a line near or below has those of its lengths
+    every = ", ".join(f"named_struct('t', {t}, 'd', {delta}, 'i', {i}, 's', {shift})" for t, out in wanted.items() for delta, i, shift in out)
+    m, short = "(l - x.d)", "((l - x.d) div (x.t + 1))"
+    n_short = f"(x.t + 1 - {m} % (x.t + 1))"
+    at, n = f"int(1 + x.i * {short} + greatest(0, x.i - {n_short}) + x.s)", f"int({short} + IF(x.i >= {n_short}, 1, 0))"
+    rest = f"transform(filter(array({every}), x -> x.t = {_tau(m, tau)}), x -> xxhash64({m}, x.i, substring(line, {at}, {n})))"
+    deltas = sorted({delta for delta, _, _ in wanted[tau]})
+    parts = [F.expr(f"int((l - {x}) div {k}) AS short{x}") for x in deltas] + [F.expr(f"int((l - {x}) % {k}) AS more{x}") for x in deltas]
+    d = lines.select("line", "h", F.length("line").alias("l")).select("line", "h", "l", *parts)
+    return d.select(F.explode(F.expr(f"CASE WHEN l >= {CHARS_PER_EDIT * tau + tau} THEN array({', '.join(key(*x) for x in wanted[tau])}) ELSE {rest} END")).alias("k"), "h")
 
 
 def edit_distance(s: str, t: str, tau: int) -> Column:
@@ -130,7 +139,7 @@ def _once(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 def near(lines: DataFrame, found: DataFrame, tau: int = TAU) -> DataFrame:
     """h, h2, g, g2: links between distinct lines (line, h, h2) within `tau` edits, or fewer for short ones. `found`: their classes."""
-    long = materialize(_once(lines.where(F.length("line") >= CHARS_PER_EDIT).select("h", "h2", "line"), found))  # read three times
+    long = materialize(_once(lines.where(F.length("line") >= CHARS_PER_EDIT).select("h", "h2", "line"), found), "lz4")  # read three times
     found, hit = meetings(long, tau)
     some = found.select("h").union(hit.select("h")).distinct()
     texts = materialize(marked(long, hash_map(some)).where("in_map").drop("in_map").join(some, "h", "left_semi").dropDuplicates(["h", "h2"]).withColumn("sig", signature("line")))
