@@ -431,16 +431,17 @@ def token_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_scores(d: DataFrame) -> DataFrame:
-    """Id, line, w, top (the function's greatest), snippet, tokens (the first ten with more than a thousandth of the total)."""
-    d = d.withColumn("total", F.expr("aggregate(t, 0L, (a, x) -> a + x.w)"))
-    lines = F.expr("transform(array_distinct(transform(t, x -> x.line)), l -> named_struct('line', l, 'w', aggregate(filter(t, x -> x.line = l), 0L, (a, x) -> a + x.w), 'tokens', slice(transform(filter(t, x -> x.line = l AND 1000 * x.w > total), x -> x.token), 1, 10)))")
-    return d.withColumn("lines", lines).withColumn("top", F.expr("array_max(transform(lines, x -> x.w))")).where("top > 0")
+    """Adds lines (line, w, and the first ten tokens with more than a thousandth of the total) and top, the function's greatest w."""
+    from ..operators import places
+
+    d = d.where("id IS NOT NULL").withColumn("lines", places.scored_lines(F.expr(heuristics.stripped(SPARK)), "id"))
+    return d.withColumn("top", F.expr("array_max(transform(lines, x -> x.w))")).where("top > 0")
 
 
 @_query("a20_line_scores", f"{_importance_sql()}, tot AS (SELECT id, sum(w) AS total FROM imp GROUP BY id), ln AS (SELECT i.id, line, sum(w)::BIGINT AS w, array_to_string((list(token ORDER BY pos) FILTER (1000 * w > total))[1:10], ' ') AS tokens FROM imp i JOIN tot t ON i.id = t.id GROUP BY i.id, line) SELECT id, line, w, {DUCK.ratio('w', 'max(w) OVER (PARTITION BY id)')} AS normalized, coalesce(tokens, '') AS tokens FROM ln QUALIFY max(w) OVER (PARTITION BY id) > 0")
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _line_scores(importance(spark, sf_dir)).select("id", "top", F.inline("lines"))
-    return d.select("id", "line", "w", F.expr(SPARK.ratio("w", "top")).alias("normalized"), F.array_join("tokens", " ").alias("tokens"))
+    d = _line_scores(corpus.dealt(spark, sf_dir).select("id", "code")).select("id", "top", F.inline("lines"))
+    return d.select("id", "line", "w", F.expr(SPARK.ratio("w", "top")).alias("normalized"), "tokens")
 
 
 @_query(

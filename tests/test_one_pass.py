@@ -26,3 +26,18 @@ def test_nodes_over_lines_in_one_pass(spark):
             want += [(x, len(over), min(whole)[2] if whole else None)] if over else []
         assert C.nodes_over(code, lines) == want
     assert "Join" not in plan(spark, "g19_nodes_of_lines")
+
+
+@pytest.mark.parametrize("row", [0, 7, 123456789012, -1000])
+def test_line_scores(row):
+    code = "a b\n\nc = 1; d\n" + "n = n + 1;\n" * 300
+    t = places.lined(code)
+    rest = lambda a, n: abs(a) % n * (1 if a >= 0 else -1)
+    w = [2 * rest(i * 13 + row, 7) + (rest(i // 32 * 5 + row, 3) + rest(i // 32 * 3 + row, 4)) * rest(i * 17 + row, 5) for i in range(len(t))]
+    want = [(x, sum(a for a, (_, line) in zip(w, t) if line == x), " ".join([k for a, (k, line) in zip(w, t) if line == x and 1000 * a > sum(w)][:10])) for x in dict.fromkeys(line for _, line in t)]
+    assert places.line_scores(code, row) == want
+
+
+def test_line_scores_read_tokens_once(spark):
+    """No lambda goes through all tokens for each line."""
+    assert "filter(" not in plan(spark, "a20_line_scores")
