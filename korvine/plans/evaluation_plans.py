@@ -450,7 +450,7 @@ def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9, K6: for scores well above the threshold, the five lines of most weight with at least 0.3 of the greatest."""
-    d = importance(spark, sf_dir).where(f"{SCORE} >= {THRESHOLD + 50}")
+    d = corpus.dealt(spark, sf_dir).where(f"{SCORE} >= {THRESHOLD + 50}").select("id", "code")
     ordered = F.expr("slice(array_sort(transform(lines, x -> named_struct('neg', -x.w, 'line', x.line))), 1, 5)")
     d = _line_scores(d).select("id", "top", F.split("code", "\n").alias("l"), ordered.alias("o"))
     d = d.select("id", "top", "l", F.posexplode("o").alias("k", "x")).where("10 * -x.neg >= 3 * top OR k = 0")

@@ -41,3 +41,7 @@ def test_line_scores(row):
 def test_line_scores_read_tokens_once(spark):
     """No lambda goes through all tokens for each line."""
     assert "filter(" not in plan(spark, "a20_line_scores")
+
+
+def test_highlights_read_tokens_once(spark):
+    assert "filter(" not in plan(spark, "m9_highlights")
