@@ -6,6 +6,8 @@ integers and every ratio is one division, so that engines agree to the last bit.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dialect import DUCK, SPARK
@@ -471,12 +473,16 @@ def slice_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, sf_dir: str):
-    """The 26 features as a vector, z-scored, with label and split."""
+    """The 26 features as a vector, z-scored, with label and split; counted once and written, as scaler, fit and scores each read them."""
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     from ..operators import defences
 
-    d = rule_plans.missing_defences(spark, sf_dir).join(corpus.synthetic(spark, sf_dir).select("id", "split", F.col("target").cast("double").alias("label")), "id")
+    d = corpus.dealt(spark, sf_dir).select("id", "code", "split", F.col("target").cast("double").alias("label"))
+    path = f"{corpus.scratch(spark)}/korvine-features-{uuid.uuid4().hex}"
+    d = rule_plans.with_defences(d, "id", "split", "label")
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
     d = VectorAssembler(inputCols=defences.NAMES, outputCol="raw").transform(d)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d.where("split = 'train'"))
     return scaler.transform(d)

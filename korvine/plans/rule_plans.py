@@ -199,12 +199,16 @@ def _v_sql() -> str:
     return f"{sql}, v AS (SELECT id, {', '.join(f'v_{n} AS {n}' for n in defences.NAMES)} FROM {last})"
 
 
-def missing_defences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and the 26 missing-defence features."""
-    df = corpus.synthetic(spark, sf_dir).select("id", "code")
+def with_defences(df: DataFrame, *keep: str) -> DataFrame:
+    """Some columns and the 26 missing-defence features of `code`."""
     for step in defences.features(SPARK):
         df = df.select("*", *_exprs(step))
-    return df.select("id", *[F.col(f"v_{n}").alias(n) for n in defences.NAMES])
+    return df.select(*keep, *[F.col(f"v_{n}").alias(n) for n in defences.NAMES])
+
+
+def missing_defences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and the 26 missing-defence features."""
+    return with_defences(corpus.synthetic(spark, sf_dir).select("id", "code"), "id")
 
 
 _query("v_missing_defence_features", f"{_v_sql()} SELECT * FROM v")(missing_defences)

@@ -79,3 +79,9 @@ def test_called_names_of_rows_without_id(spark, monkeypatch):
     """Grouped by id as in SQL: null is a group, and rows of the same id count together, not each with each."""
     _corpus(monkeypatch, spark, [(None, "f(a); g(f(b)); x.h(c);", ""), (1, "k(1);", ""), (1, "k(2); if (x) k(3);", "")])
     assert {tuple(r) for r in registry.queries()["g3_called_names"](spark, "").collect()} == {(None, "f", 2), (None, "g", 1), (1, "k", 3)}
+
+
+def test_model_counts_features_once(spark):
+    """What is scored comes from the written features; no pattern runs again."""
+    p = plan(spark, "m10a_feature_model")
+    assert "Join" not in p and "RLIKE" not in p and "regexp" not in p
