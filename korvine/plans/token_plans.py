@@ -193,11 +193,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def learned_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps learnt by zipping names with the dataset's symbols; the first pairing of a name counts."""
-    d = typed(spark, sf_dir).withColumn("theirs", _shifted()).select("id", F.expr("arrays_zip(tokens, theirs)").alias("z"))
-    of = lambda k: f"transform(array_distinct(transform(filter(z, x -> x.theirs LIKE '{k}\\\\_%'), x -> x.tokens)), n -> named_struct('kind', '{k}', 'name', n, 'symbol', filter(z, y -> y.tokens = n AND y.theirs LIKE '{k}\\\\_%')[0].theirs))"
-    top = lambda k: f"array_max(transform(filter(m, y -> y.kind = '{k}'), y -> cast(regexp_extract(y.symbol, '_([0-9]+)$', 1) AS bigint))) + 1"
-    d = d.select("id", F.expr(SPARK.once(["z"], f"concat({of('VAR')}, {of('FUNC')})")).alias("m")).withColumns({"v": F.expr(top("VAR")), "f": F.expr(top("FUNC"))})
-    return d.select("id", "v", "f", F.expr("inline(m)")).select("id", "kind", "name", "symbol", F.expr("IF(kind = 'VAR', v, f)").alias("counter"))
+    return corpus.dealt(spark, sf_dir).select("id", F.inline(places.learned_maps("code", F.expr("10 + id % 3"))))
 
 
 # ---- vocabulary ------------------------------------------------------------------------------------------------------

@@ -85,3 +85,13 @@ def test_model_counts_features_once(spark):
     """What is scored comes from the written features; no pattern runs again."""
     p = plan(spark, "m10a_feature_model")
     assert "Join" not in p and "RLIKE" not in p and "regexp" not in p
+
+
+def test_learned_maps():
+    pairs = [("f", "FUNC_0"), ("a", "VAR_0"), ("a", "VAR_0"), ("a", "FUNC_1"), ("+", "+"), ("b", "VAR_1")]
+    assert places.learned(pairs, 10) == [("VAR", "a", "VAR_10", 12), ("VAR", "b", "VAR_11", 12), ("FUNC", "f", "FUNC_10", 12), ("FUNC", "a", "FUNC_11", 12)]
+    assert places.learned(pairs, None) == [] == places.learned([], 3)
+
+
+def test_learned_maps_read_tokens_once(spark):
+    assert "filter(" not in plan(spark, "n6_learned_maps")
