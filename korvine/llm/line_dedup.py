@@ -29,6 +29,11 @@ CHARS_PER_EDIT = 16
 HOT = 1024
 
 
+#: The bits of an index key that count. Keys that are equal by chance only add candidates, which are verified; beside the zeros that
+#: begin a row of a shuffle, zeros of the first bytes take no room.
+KEY_BITS = -1 << 24
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the row), line_no, line of every line that may go."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("key", F.xxhash64("doc_id", "t"))
@@ -79,14 +84,14 @@ def _rows(lines: DataFrame, tau: int, own: bool, others: bool) -> DataFrame:
 
     def key(delta: int, i: int, shift: int) -> str:
         at = f"{i} * short{delta} + greatest(0, more{delta} - {k - i}) + {1 + shift}"
-        return f"xxhash64(l - {delta}, {i}, substring(line, {at}, short{delta} + IF(more{delta} >= {k - i}, 1, 0)))"
+        return f"(xxhash64(l - {delta}, {i}, substring(line, {at}, short{delta} + IF(more{delta} >= {k - i}, 1, 0))) & {KEY_BITS}L)"
 
     # lines long enough have the entries of tau, each an expression of its own; a line near or below has those of its lengths
     every = ", ".join(f"named_struct('t', {t}, 'd', {delta}, 'i', {i}, 's', {shift})" for t, out in wanted.items() for delta, i, shift in out)
     m, short = "(l - x.d)", "((l - x.d) div (x.t + 1))"
     n_short = f"(x.t + 1 - {m} % (x.t + 1))"
     at, n = f"int(1 + x.i * {short} + greatest(0, x.i - {n_short}) + x.s)", f"int({short} + IF(x.i >= {n_short}, 1, 0))"
-    rest = f"transform(filter(array({every}), x -> x.t = {_tau(m, tau)}), x -> xxhash64({m}, x.i, substring(line, {at}, {n})))"
+    rest = f"transform(filter(array({every}), x -> x.t = {_tau(m, tau)}), x -> xxhash64({m}, x.i, substring(line, {at}, {n})) & {KEY_BITS}L)"
     deltas = sorted({delta for delta, _, _ in wanted[tau]})
     parts = [F.expr(f"int((l - {x}) div {k}) AS short{x}") for x in deltas] + [F.expr(f"int((l - {x}) % {k}) AS more{x}") for x in deltas]
     d = lines.select("line", "h", F.length("line").alias("l")).select("line", "h", "l", *parts)
@@ -182,10 +187,10 @@ def rewritten(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """_row (struct of all columns of `docs`, text being what stays of it), n_lines, n_lost, n_near of every row."""
     lost = materialize(drops(docs, tau)).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), "lost", F.col("n_near").alias("_near"))
     names = docs.columns
-    d = docs.select(F.struct(*names).alias("_row"), F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_k"))
+    d = docs.select(F.struct(*names).alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_k"))
     j = d.join(lost.hint("shuffle_hash"), (d._k == lost._key) & (d._d == lost._id), "left")
-    j = j.withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n"))
-    stays = F.expr("CASE WHEN lost IS NULL THEN _text ELSE array_join(filter(_lines, (x, i) -> NOT array_contains(lost, i)), '\\n') END")
+    j = j.withColumn("_lines", F.split(F.coalesce("_row.text", F.lit("")), "\n"))
+    stays = F.expr("CASE WHEN lost IS NULL THEN _row.text ELSE array_join(filter(_lines, (x, i) -> NOT array_contains(lost, i)), '\\n') END")
     row = F.struct(*[stays.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
     return j.select(row.alias("_row"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_lost"), F.coalesce("_near", F.lit(0)).alias("n_near"))
 

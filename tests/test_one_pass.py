@@ -16,18 +16,6 @@ def plan(spark, name):
     return registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_nodes_over_lines_in_one_pass(spark):
-    for code in CODES:
-        lines = list(range(1, code.count("\n") + 2))
-        want = []
-        for x in lines:
-            over = [n for n in C.nodes(code) if n[1] not in ("comment", "ERROR") and n[3] <= x <= n[5]]
-            whole = [(n[7] - n[6], n[0], n[1]) for n in over if n[8] >= 0 and ("statement" in n[1] or n[1].endswith("declaration"))]
-            want += [(x, len(over), min(whole)[2] if whole else None)] if over else []
-        assert C.nodes_over(code, lines) == want
-    assert "Join" not in plan(spark, "g19_nodes_of_lines")
-
-
 @pytest.mark.parametrize("row", [0, 7, 123456789012, -1000])
 def test_line_scores(row):
     code = "a b\n\nc = 1; d\n" + "n = n + 1;\n" * 300
@@ -47,6 +35,24 @@ def test_highlights_read_tokens_once(spark):
     assert "filter(" not in plan(spark, "m9_highlights")
 
 
+def test_nodes_over_lines_in_one_pass(spark):
+    for code in CODES:
+        lines = list(range(1, code.count("\n") + 2))
+        want = []
+        for x in lines:
+            over = [n for n in C.nodes(code) if n[1] not in ("comment", "ERROR") and n[3] <= x <= n[5]]
+            whole = [(n[7] - n[6], n[0], n[1]) for n in over if n[8] >= 0 and ("statement" in n[1] or n[1].endswith("declaration"))]
+            want += [(x, len(over), min(whole)[2] if whole else None)] if over else []
+        assert C.nodes_over(code, lines) == want
+    assert "Join" not in plan(spark, "g19_nodes_of_lines")
+
+
+def test_called_names_of_rows_without_id(spark, monkeypatch):
+    """Grouped by id as in SQL: null is a group, and rows of the same id count together, not each with each."""
+    _corpus(monkeypatch, spark, [(None, "f(a); g(f(b)); x.h(c);", ""), (1, "k(1);", ""), (1, "k(2); if (x) k(3);", "")])
+    assert {tuple(r) for r in registry.queries()["g3_called_names"](spark, "").collect()} == {(None, "f", 2), (None, "g", 1), (1, "k", 3)}
+
+
 def test_dependency_slices_in_one_pass(spark):
     sinks, memory = ["strcpy"], ["malloc", "free"]
     for code in CODES:
@@ -75,10 +81,14 @@ def test_data_edges_in_one_pass(spark, monkeypatch):
     assert "Join" not in registry.queries()["g8_data_edges"](spark, "")._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_called_names_of_rows_without_id(spark, monkeypatch):
-    """Grouped by id as in SQL: null is a group, and rows of the same id count together, not each with each."""
-    _corpus(monkeypatch, spark, [(None, "f(a); g(f(b)); x.h(c);", ""), (1, "k(1);", ""), (1, "k(2); if (x) k(3);", "")])
-    assert {tuple(r) for r in registry.queries()["g3_called_names"](spark, "").collect()} == {(None, "f", 2), (None, "g", 1), (1, "k", 3)}
+def test_learned_maps():
+    pairs = [("f", "FUNC_0"), ("a", "VAR_0"), ("a", "VAR_0"), ("a", "FUNC_1"), ("+", "+"), ("b", "VAR_1")]
+    assert places.learned(pairs, 10) == [("VAR", "a", "VAR_10", 12), ("VAR", "b", "VAR_11", 12), ("FUNC", "f", "FUNC_10", 12), ("FUNC", "a", "FUNC_11", 12)]
+    assert places.learned(pairs, None) == [] == places.learned([], 3)
+
+
+def test_learned_maps_read_tokens_once(spark):
+    assert "filter(" not in plan(spark, "n6_learned_maps")
 
 
 def test_model_counts_features_once(spark):
@@ -87,11 +97,16 @@ def test_model_counts_features_once(spark):
     assert "Join" not in p and "RLIKE" not in p and "regexp" not in p
 
 
-def test_learned_maps():
-    pairs = [("f", "FUNC_0"), ("a", "VAR_0"), ("a", "VAR_0"), ("a", "FUNC_1"), ("+", "+"), ("b", "VAR_1")]
-    assert places.learned(pairs, 10) == [("VAR", "a", "VAR_10", 12), ("VAR", "b", "VAR_11", 12), ("FUNC", "f", "FUNC_10", 12), ("FUNC", "a", "FUNC_11", 12)]
-    assert places.learned(pairs, None) == [] == places.learned([], 3)
-
+def test_line_dedup_with_colliding_keys(spark, monkeypatch):
+    """Index keys have zeros in their first bytes; with six bits left, all lines collide and the results stay."""
+    from korvine.llm import line_dedup
 
-def test_learned_maps_read_tokens_once(spark):
-    assert "filter(" not in plan(spark, "n6_learned_maps")
+    base = ["the quick brown fox jumps over the lazy dog", "a line of some other words that stays", "short line of text", "nothing like the rest of these lines here", "", "x"]
+    edited = lambda t, k: t[:k] + "#" + t[k + 1 :]
+    rows = [(k, "\n".join([*base[k % 3 :], edited(base[0], k % 40), edited(base[1], 30 - k)])) for k in range(12)]
+    docs = spark.createDataFrame([*rows, (12, None)], "doc_id long, text string")
+    assert line_dedup._rows(docs.selectExpr("explode(split(text, '\n')) AS line").where("length(line) > 15").selectExpr("line", "xxhash64(line) AS h"), 2, True, True).where("k & 16777215 <> 0").count() == 0
+    result = lambda: sorted(map(str, line_dedup.rewritten(docs).collect()))
+    want = result()
+    monkeypatch.setattr(line_dedup, "KEY_BITS", -1 << 58)
+    assert result() == want and any("n_near=1" in x or "n_near=2" in x for x in want)
